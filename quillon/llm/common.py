@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,8 +53,21 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+@functools.cache
+def thrifty() -> None:
+    """Make this Python worker give freed memory back: workers live on between stages, and an executor has several."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL("libc.so.6").mallopt
+    except (OSError, AttributeError):  # another C library: nothing to set
+        return
+    mallopt(-3, 1 << 20)  # blocks from 1 MB on are mapped, so that freeing unmaps them
+    mallopt(-1, 1 << 20)  # the heap's end is trimmed from 1 MB on
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows that hold about limit bytes of text; a longer text stays whole."""
+    thrifty()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -35,6 +35,8 @@ MARK = "▁"
 #: Characters from which a word is cut where no entry could span.
 LONG = 40
 _NONE = -1
+#: Bytes of text encoded at once: the tables of a slice are some thirty times as large.
+SLICE = 2 << 20
 
 
 class _Table:
@@ -382,7 +384,7 @@ def encode_decode(df: DataFrame, text: str = "text", model: str = MODEL, ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             place = part.schema.get_field_index(text)
             lists = tool.encode(part.column(place).cast(pa.string()))
             columns = [c for k, c in enumerate(part.columns) if k != place] + [lists, pc.list_value_length(lists)]
