@@ -5,8 +5,8 @@ A passage of at least MIN_WORDS (50) words that occurs twice anywhere in the cor
 
 1. Anchors. Of each 26 successive runs of 25 words, the one with the least fingerprint is an anchor (one in 13 or so). A
    50-word window holds 26 such runs, so equal windows hold equal anchors, wherever they stand.
-2. Anchors whose fingerprint occurs once in the corpus are dropped. The others bring the words around them (25 to each
-   side: all 50-word windows that hold the anchor) to the partition of their fingerprint, sorted by it.
+2. Anchors whose fingerprint occurs once in the corpus are dropped. The others bring the words of the 50-word windows whose least run
+   they are to the partition of their fingerprint, sorted by it. A window has one such anchor, the same wherever it stands.
 3. There each shard of up to SHARD_WORDS words gets its suffix array (Larsson-Sadakane) and common prefixes (Kasai): windows whose
    common prefix is 50 or more are equal. Where a fingerprint's occurrences go over a shard's end, the next shard's windows are
    merged with those before by binary search in their sorted fingerprints, so no group is too large.
@@ -41,26 +41,32 @@ SHARD_WORDS = 1 << 19
 BROADCAST_ROWS = 100_000
 
 
-def anchors(off: np.ndarray, codes: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(place in codes, fingerprint) of each anchor."""
+def _least(codes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the least run's fingerprint, the leftmost of equal ones, for each window of min_words codes; all runs' fingerprints). Places ascend."""
     run = min_words // 2
     prints = window_prints(codes, run)
     wide = min_words - run + 1
     n = len(prints) - wide + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), prints
     least = np.arange(len(prints))
     have = 1
-    while have < wide:  # place of the least fingerprint of each run, leftmost of equal ones, by doubling
+    while have < wide:  # by doubling
         step = min(have, wide - have)
         a, b = least[: len(least) - step], least[step:]
         least = np.where(prints[a] <= prints[b], a, b)
         have += step
+    return least[:n], prints
+
+
+def anchors(off: np.ndarray, codes: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(place in codes, fingerprint) of each anchor."""
+    least, prints = _least(codes, min_words)
     n_words = np.diff(off)
-    inside = np.zeros(n, bool)
+    inside = np.zeros(len(least), bool)
     for s, k in zip(off[:-1][n_words >= min_words].tolist(), n_words[n_words >= min_words].tolist(), strict=True):
         inside[s : s + k - min_words + 1] = True
-    at = np.unique(least[:n][inside])
+    at = np.unique(least[inside])
     return at, prints[at]
 
 
@@ -77,9 +83,6 @@ def _find_anchors(min_words: int):
 
 
 def _cut_contexts(min_words: int):
-    run_words = min_words // 2
-    side = min_words - run_words
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             off, codes = word_codes(part.column("text"))
@@ -88,8 +91,10 @@ def _cut_contexts(min_words: int):
             hit = lists.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
             fp = lists.flatten().field("fp")
             row, _ = spread(hit_off - hit_off[0])
-            start = np.maximum(hit - side, 0)
-            end = np.minimum(hit + run_words + side, np.diff(off)[row])
+            least, _ = _least(codes, min_words)
+            place = off[:-1][row] + hit
+            start = np.maximum(np.searchsorted(least, place, side="left"), off[:-1][row]) - off[:-1][row]
+            end = np.minimum(np.searchsorted(least, place, side="right") - 1, off[1:][row] - min_words) - off[:-1][row] + min_words
             bounds = np.concatenate([[0], np.cumsum(end - start)])
             place = np.arange(bounds[-1]) + np.repeat(off[:-1][row] + start - bounds[:-1], end - start)
             words = (codes[place] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
