@@ -56,6 +56,17 @@ def ladder(cases: list[tuple[Column, object]], otherwise: object = None) -> Colu
     return out.otherwise(F.lit(otherwise))
 
 
+def settled(*columns: Column) -> Column:
+    """The named columns as one generator. Filters on them stay above it: pushed below, they would repeat long expressions many times over."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
+def lookup(table: dict[str, object], key: Column) -> Column:
+    """The table's value for a key, null for others. A literal map, as one expression."""
+    show = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.try_element_at(F.expr("map(" + ", ".join(f"{show(k)}, {show(v)}" for k, v in table.items()) + ")"), key)
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

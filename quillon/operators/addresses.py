@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import half_up, ladder, text_or_null
+from ..functions.core import half_up, ladder, lookup, settled, text_or_null
 
 _COUNTRIES = """
 US:USA,us,united states,united states of america,america,u.s.a|CA:CAN,ca,canada|MX:MEX,mexico|BR:BRA,brazil,brasil|AR:ARG,argentina|CL:CHL,chile|CO:COL,colombia|PE:PER,peru|VE:VEN,venezuela|
@@ -39,20 +39,19 @@ def tidy(x: Column) -> Column:
 
 def country_code(x: Column) -> Column:
     """a name or code to a two-letter code; null for anything else."""
-    table = F.create_map(*[F.lit(v) for kv in COUNTRIES.items() for v in kv])
     plain = F.regexp_replace(F.lower(tidy(x)), r"\.+$", "")
     letters = F.regexp_replace(plain, r"[^a-z]", "")
-    return F.coalesce(table[plain], F.when(F.length(letters) == 2, table[letters]))
+    return F.coalesce(lookup(COUNTRIES, plain), F.when(F.length(letters) == 2, lookup(COUNTRIES, letters)))
 
 
 def postal_code(x: Column, country: Column) -> Column:
     """by the country's pattern; without a country that has one, the longest match of all, ties by letter."""
     clean = lambda m: F.trim(F.regexp_replace(m, r"\s+", " "))
-    named, found = F.lit(None).cast("string"), []
-    for code, pattern in POSTAL.items():
-        named = F.when(country == code, text_or_null(clean(F.regexp_extract(x, pattern, 1)))).otherwise(named)
-    for pattern in sorted(set(POSTAL.values())):
-        found.append(clean(F.regexp_extract(x, pattern, 1)))
+    found = [clean(F.regexp_extract(x, pattern, 1)) for pattern in sorted(set(POSTAL.values()))]
+    cases = [(country.isin(*[c for c, p in POSTAL.items() if p == pattern]), text_or_null(m)) for pattern, m in zip(sorted(set(POSTAL.values())), found, strict=True)]
+    named = F.when(*cases[0])
+    for case in cases[1:]:
+        named = named.when(*case)
     best = F.array_min(F.transform(F.filter(F.array(*found), lambda m: m != ""), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))["m"]
     return F.when(country.isin(*POSTAL), named).otherwise(best)
 
@@ -112,14 +111,14 @@ def with_addresses(df: DataFrame, raw: str = "address", hint: str | None = None)
     cc, north, german = F.col("_cc"), F.col("_cc").isin("US", "CA"), F.col("_cc").isin("DE", "AT")
     pick = lambda us, de, gb, jp, other: F.when(north, us).when(german, de).when(cc == "GB", gb).when(cc == "JP", jp).otherwise(other)
     none = F.lit(None).cast("string")
-    return d.select(
-        *df.columns,
+    made = settled(
         pick(na_street, at("_parts", 0), at("_in", 0), jp_street, any_street).alias("address_street"),
         pick(na_city, text_or_null(F.col("_rest")), at("_in", 1), F.col("_ward"), F.when(m >= 2, at("_pos", 1))).alias("address_city"),
         pick(F.col("_state"), F.when((de_extra != "") & ~de_extra.rlike(r"\s"), de_extra), none, F.col("_pref"), F.when(m >= 3, at("_pos", 2))).alias("address_state"),
         F.col("_postal").alias("address_postal"),
         cc.alias("address_country"),
     )
+    return d.select(*df.columns, made)
 
 
 def geocode_confidence(accuracy: Column, importance: Column, lat: Column, postal_hit: Column, city_hit: Column) -> Column:

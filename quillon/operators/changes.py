@@ -97,7 +97,7 @@ def merged(old: DataFrame, acted: DataFrame, kept_if_null: tuple[str, ...] = ("l
 
 def age_days(at: Column, now: Column) -> Column:
     """Days, at least 0; null without a time."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 86_400_000_000.0)
+    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000.0)
 
 
 def list_freshness(there: Column, age: Column, days: float = LIST_DAYS) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import text_or_null
+from ..functions.core import lookup, settled, text_or_null
 
 _SCRIPTS = [0x0660, 0x06F0, 0x0966, 0x09E6]
 FOREIGN_DIGITS = "".join(chr(base + d) for base in _SCRIPTS for d in range(10))
@@ -57,33 +57,30 @@ def with_phones(df: DataFrame, raw: str = "phone", region: str = "US") -> DataFr
     steps = steps.withColumn("_plus", F.col("_part").startswith("+")).withColumn("_digits", F.regexp_replace("_part", r"[^0-9]", ""))
     nanp = F.when(F.col("_plus"), F.col("_digits").startswith("1")).otherwise(F.lit(region in ("US", "CA")))
     national = F.when(F.col("_plus") | (F.length("_digits") == 11) & F.col("_digits").startswith("1"), F.substring("_digits", 2, 20)).otherwise(F.col("_digits"))
-    code = F.lit(None).cast("string")
-    for prefix, _, _, _ in sorted(PLANS, key=lambda p: len(p[0])):
-        code = F.when(F.col("_digits").startswith(prefix), F.lit(prefix)).otherwise(code)
+    known = {code: code for code, _, _, _ in PLANS}
+    code = F.coalesce(*[lookup(known, F.substring("_digits", 1, n)) for n in (3, 2, 1)])
     other = F.when(F.col("_plus"), code)
     if own is not None:
         other = F.coalesce(other, F.when(~F.col("_plus"), F.lit(own[0])))
     steps = steps.withColumn("_nanp", nanp & (F.col("_digits") != "")).withColumn("_code", F.when(~F.col("_nanp"), other))
     rest = F.when(F.col("_plus"), F.expr("substring(_digits, length(_code) + 1)")).otherwise(F.regexp_replace("_digits", "^0", ""))
     steps = steps.withColumn("_nat", F.when(F.col("_nanp"), national).otherwise(rest))
-    country, fits = F.lit(None).cast("string"), F.lit(False)
-    for prefix, name, low, high in PLANS:
-        country = F.when(F.col("_code") == prefix, name).otherwise(country)
-        fits = F.when(F.col("_code") == prefix, F.length("_nat").between(low, high)).otherwise(fits)
+    country = lookup({code: name for code, name, _, _ in PLANS}, F.col("_code"))
+    fits = F.length("_nat").between(lookup({p[0]: p[2] for p in PLANS}, F.col("_code")), lookup({p[0]: p[3] for p in PLANS}, F.col("_code")))
     valid = F.when(F.col("_nanp"), F.col("_nat").rlike(NANP)).otherwise(F.coalesce(fits, F.lit(False)))
     steps = steps.withColumn("phone_valid", F.when(~blank, valid))
     kind = (
         F.when(~F.col("phone_valid"), "invalid").when(F.col("_nanp") & F.substring("_nat", 1, 3).isin(*TOLL_FREE), "toll_free").when(F.col("_nanp") & F.col("_nat").startswith("900"), "unknown").when(F.col("_nanp"), "landline").otherwise("unknown")
     )
-    return steps.select(
-        *df.columns,
+    made = settled(
         F.when(F.col("phone_valid"), F.concat(F.lit("+"), F.when(F.col("_nanp"), F.lit("1")).otherwise(F.col("_code")), F.col("_nat"))).alias("phone_e164"),
         F.when(~blank, kind).alias("phone_type"),
         F.when(~blank, F.coalesce(F.when(F.col("_nanp"), F.lit("CA" if region == "CA" else "US")), country, F.lit(region))).alias("phone_country"),
-        "phone_valid",
+        F.col("phone_valid"),
         F.when(~blank, text_or_null(F.col("_nat"))).alias("phone_national"),
         F.when(~blank, F.col("_split.extension")).alias("phone_extension"),
     )
+    return steps.select(*df.columns, made)
 
 
 def for_dialing(e164: Column) -> Column:

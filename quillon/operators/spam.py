@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import haversine_km, ladder
+from ..functions.core import haversine_km, ladder, lookup, settled
 
 KEYWORDS = "24 7|24/7|aaa|affordable|best|cheap|cheapest|discount|emergency|expert|fastest|free estimate|guaranteed|instant|insured|licensed|lowest price|number 1|#1|premium|professional|quality|reliable|top rated".split("|")
 TLDS = "cf click gq loan ml tk top xyz".split()
@@ -69,7 +69,7 @@ def with_spam(df: DataFrame, key: str = "place_id") -> DataFrame:
         words = words + lower.rlike(rf"\b{word}\b").cast("int")
     d = d.withColumn("_hits", words).withColumn("_caps", (n_letters > 0) & (n_capitals >= 0.7 * n_letters))
     hits, caps, n = F.col("_hits"), F.col("_caps"), F.col("reuse")
-    state_of = F.create_map(*[F.lit(v) for kv in AREA_STATE.items() for v in kv])[F.substring("phone_national", 1, 3)]
+    state_of = lookup(AREA_STATE, F.substring("phone_national", 1, 3))
     no_site = F.coalesce(F.col("website") == "", F.lit(True))
     category, site = F.coalesce(F.col("category"), F.lit("")), F.lower(F.coalesce(F.col("website"), F.lit("")))
 
@@ -94,7 +94,7 @@ def with_spam(df: DataFrame, key: str = "place_id") -> DataFrame:
     heaviest = F.array_sort(F.array_compact(flags), lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["code"] < b["code"], -1).when(a["code"] > b["code"], 1).otherwise(0))
     d = d.withColumn("spam_flags", heaviest)
     d = d.withColumn("spam_score", F.least(F.lit(100), F.aggregate("spam_flags", F.lit(0), lambda acc, f: acc + f["weight"])))
-    return d.select(*df.columns, "spam_flags", "spam_score", level(F.col("spam_score")).alias("spam_level"), (F.col("spam_score") >= 25).alias("is_spam"))
+    return d.select(*df.columns, settled(F.col("spam_flags"), F.col("spam_score"), level(F.col("spam_score")).alias("spam_level"), (F.col("spam_score") >= 25).alias("is_spam")))
 
 
 def level(score: Column) -> Column:

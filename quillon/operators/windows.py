@@ -84,7 +84,7 @@ def _next_state(state: str | None, row: tuple) -> tuple[str, tuple[str]]:
 
 def count_within(df: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
     """W5, ST4: events of the key in the window up to each event, and whether they reach the limit."""
-    micros = F.unix_micros(F.col(at))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("retired", F.col("in_window") >= limit)
 
@@ -116,7 +116,7 @@ def rotations(df: DataFrame, key: str, order: list[str], at: str, most: int, max
         new = (session + 1, 1, row[0]) if why else (session, n + 1, since)
         return new, (new[0], new[1], why)
 
-    return sorted_scan(df.withColumn("_us", F.unix_micros(F.col(at))), key, order, ("_us",), "session int, n int, why string", step).drop("_us")
+    return sorted_scan(df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))), key, order, ("_us",), "session int, n int, why string", step).drop("_us")
 
 
 def round_robin(df: DataFrame, order: list[str], members: int, sticky: int = 1) -> DataFrame:

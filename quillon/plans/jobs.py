@@ -105,7 +105,7 @@ def pool_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.crossJoin(F.broadcast(jobs.least_busy(t).select(F.col("worker").alias("least_busy"))))  # one row each
 
 
-@query("SELECT o_custkey AS run, sum(o_totalprice::BIGINT)::BIGINT AS rows_out, count(*)::BIGINT AS runs, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS failed FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY GROUP BY o_custkey")
+@query("SELECT o_custkey AS run, sum(floor(abs(o_totalprice) + 0.5)::BIGINT)::BIGINT AS rows_out, count(*)::BIGINT AS runs, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS failed FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY GROUP BY o_custkey")
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recent runs rolled up. The bound is a one-row subquery, so that the filter stays a filter of the scan."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

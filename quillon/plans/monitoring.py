@@ -44,7 +44,7 @@ def burn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.burn_states(outcomes(_events(spark, sf_dir)), "user_id", ["ts", "event_id"], F.col("ok"), F.col("code")).select("event_id", "state")
 
 
-@query(f"WITH RECURSIVE {STATES_SQL}, Z AS (SELECT user_id, state, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM ST), LT AS (SELECT Z.user_id, Z.state, VD.ts FROM Z JOIN VD ON VD.user_id = Z.user_id AND VD.rn = Z.rn WHERE back = 1) SELECT user_id, state, state = 'healthy' OR (state = 'cooldown' AND TIMESTAMP '2024-01-31 00:00:00' - ts >= INTERVAL 10 MINUTE) AS reusable FROM LT")
+@query(f"WITH RECURSIVE {STATES_SQL}, Z AS (SELECT user_id, state, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM ST), Y AS (SELECT Z.user_id, Z.state, VD.ts FROM Z JOIN VD ON VD.user_id = Z.user_id AND VD.rn = Z.rn WHERE back = 1) SELECT user_id, state, state = 'healthy' OR (state = 'cooldown' AND TIMESTAMP '2024-01-31 00:00:00' - ts >= INTERVAL 10 MINUTE) AS reusable FROM Y")
 def burn_reusable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: last state by key, and whether the key can be used again ten minutes after its last event."""
     d = windows.burn_states(outcomes(_events(spark, sf_dir)), "user_id", ["ts", "event_id"], F.col("ok"), F.col("code"))
@@ -117,7 +117,7 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, prev_id FROM (SELECT a.event_id, max(b.event_id) AS prev_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'click' AND b.ts < a.ts WHERE a.event_type = 'error' GROUP BY a.event_id)")
 def last_click_before_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: an as-of join by one sort of both sides: the last click before each error of the same user (ids ascend with time)."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     e = _events(spark, sf_dir).filter("event_type in ('error', 'click')")
     met = e.withColumn("prev_id", F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(w))
     return met.filter("event_type = 'error' and prev_id is not null").select("event_id", "prev_id")

@@ -99,7 +99,7 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] = CSV_COLUMNS)
         begun = False
         for batch in batches:
             if not begun and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], names=["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
                 begun = True
             yield batch
 
