@@ -65,12 +65,12 @@ def sentiment_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: reviews: the user turns of conversations and a sentence; owners: conversations with a rating
-_REVIEW_SQL = f"""RV AS (SELECT conv_id * 1000 + turn AS key, conv_id AS owner, CASE WHEN turn % 4 = 3 THEN '  ' ELSE {_CASE.format(k='turn + conv_id')} || CASE WHEN conv_id % 3 = 0 THEN ' ' || text ELSE '' END END AS text FROM conversations),
+_REVIEW_SQL = f"""RV AS (SELECT conv_id * 1000 + turn AS key, conv_id AS owner, CASE WHEN turn % 4 = 3 THEN '  ' ELSE {_CASE.format(k='(turn + conv_id)')} || CASE WHEN conv_id % 3 = 0 THEN ' ' || text ELSE '' END END AS text FROM conversations),
 OW AS (SELECT DISTINCT conv_id AS owner, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE 1 + (conv_id % 9) * 0.5 END::DOUBLE AS rating, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 130 END::BIGINT AS reviews_count FROM conversations UNION ALL SELECT -1, 5.0, 2),
 OK AS (SELECT * FROM RV WHERE trim(text) <> '')"""
 _JUDGED_SQL = f"""{_REVIEW_SQL}, {hits_sql('OK')}, HS AS (SELECT key, sum(polarity) AS p FROM H GROUP BY key), SC AS (SELECT OK.owner, OK.key, length(OK.text) AS l, len(regexp_split_to_array(trim(OK.text, chr(10) || ' '), '\\s+')) < 6 AS short, len(regexp_extract_all(lower(OK.text), '[a-z0-9][a-z0-9''-]*')) AS n, coalesce(p, 0) AS p FROM OK LEFT JOIN HS USING (key)),
-BY AS (SELECT owner, count(*) AS n, avg(CASE WHEN n > 0 THEN greatest(-1.0, least(1.0, p::DOUBLE / n)) ELSE 0.0 END) AS m, bool_and(short) AS all_short FROM SC GROUP BY owner),
-J0 AS (SELECT OW.*, coalesce(n, 0)::BIGINT AS n, coalesce(m, 0.0)::DOUBLE AS m, coalesce(all_short, false) AS all_short, coalesce((greatest(1.0, least(5.0, rating)) - 3) / 2, 0.0)::DOUBLE AS e FROM OW LEFT JOIN BY USING (owner)),
+BYO AS (SELECT owner, count(*) AS n, avg(CASE WHEN n > 0 THEN greatest(-1.0, least(1.0, p::DOUBLE / n)) ELSE 0.0 END) AS m, bool_and(short) AS all_short FROM SC GROUP BY owner),
+J0 AS (SELECT OW.*, coalesce(n, 0)::BIGINT AS n, coalesce(m, 0.0)::DOUBLE AS m, coalesce(all_short, false) AS all_short, coalesce((greatest(1.0, least(5.0, rating)) - 3) / 2, 0.0)::DOUBLE AS e FROM OW LEFT JOIN BYO USING (owner)),
 J1 AS (SELECT *, CASE WHEN n = 0 OR rating IS NULL THEN 'unknown' WHEN abs(m - e) < 0.3 THEN 'consistent' WHEN abs(m - e) < 0.6 THEN 'mismatch' ELSE 'severe_mismatch' END AS fit, CASE WHEN n = 0 THEN coalesce(reviews_count, 0) ELSE coalesce(reviews_count, n) END AS c FROM J0),
 J AS (SELECT owner, n AS reviews, floor(m * 1000 + 0.5) / 1000 AS score, {_LABEL.format(s='m')} AS label, CASE WHEN n = 0 THEN 'low' WHEN coalesce(reviews_count, n) >= 100 THEN 'very_high' WHEN coalesce(reviews_count, n) >= 20 THEN 'high' WHEN coalesce(reviews_count, n) >= 5 THEN 'medium' ELSE 'low' END AS volume, floor(e * 1000 + 0.5) / 1000 AS expected, fit AS consistency,
   array_to_string(list_filter([CASE WHEN n = 0 THEN 'no_reviews' END, CASE WHEN fit = 'severe_mismatch' THEN 'rating_review_mismatch_high' END, CASE WHEN fit = 'mismatch' THEN 'rating_review_mismatch' END, CASE WHEN rating >= 4.8 AND c <= 5 THEN 'extreme_rating_low_volume' END, CASE WHEN n > 0 AND all_short AND m > 0.2 AND c <= 5 THEN 'uniformly_perfect_reviews' END], lambda x: x IS NOT NULL), '|') AS anomalies FROM J1)"""
