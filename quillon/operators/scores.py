@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import bands, clamp, half_up
+from ..functions.core import bands, clamp, half_up, settled
 
 SIGNALS = ("legitimacy", "reputation", "data_quality", "digital_maturity", "establishment", "uniqueness", "geo")
 LABELS = ("Legitimacy", "Reputation", "Data quality", "Digital maturity", "Establishment", "Uniqueness", "Geo context")
@@ -73,9 +73,7 @@ def with_lead_score(df: DataFrame, profile: str = "web-agency") -> DataFrame:
     """F157-F160: df and the seven signals, lead_score, lead_grade, lead_tier, spam_capped, weakest, strengths, risks, recommendation. An unknown profile is the web agency's."""
     name = profile if profile in PROFILES else "web-agency"
     weights, angle = PROFILES[name]
-    d = df
-    for key, value in signals().items():
-        d = d.withColumn(key, value)
+    d = df.select("*", settled(*[value.alias(key) for key, value in signals().items()]))
     whole = reduce(lambda a, b: a + b, [half_up(F.col(k) * w, 1) for k, w in zip(SIGNALS, weights, strict=True)])
     d = d.withColumn("_sum", whole).withColumn("spam_capped", F.coalesce(F.col("is_spam") & (F.col("spam_score") >= CAP_FROM) & (F.col("_sum") > CAP), F.lit(False)))
     d = d.withColumn("lead_score", clamp(F.when(F.col("spam_capped"), float(CAP)).otherwise(half_up(half_up(F.col("_sum"), 6)))).cast("int"))

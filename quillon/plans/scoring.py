@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import half_up
+from ..functions.core import half_up, settled
 from ..operators import geo, scores, spam
 from ..operators.chains import CHAIN_SQL, chain
-from .geo import METRICS_SQL
+from .geo import METRICS_SQL, located
 from .registry import query
 from .spam import PREPARED_SQL, SPAM_SQL, prepared
 
@@ -26,8 +26,9 @@ _GIVEN = {
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with what all phases found."""
-    d = spam.with_spam(prepared(spark, sf_dir)).withColumn("chain_id", chain(F.col("name"))["chain_id"])
-    g = geo.geo_metrics(d.select(F.col("place_id").alias("id"), "name", "category", "lat", "lng", "chain_id")).select(F.col("id").alias("place_id"), "isolation", "area_type", "coord_source")
+    d = spam.with_spam(prepared(spark, sf_dir))
+    d = d.select("*", settled(chain(F.col("name"))["chain_id"].alias("chain_id")))
+    g = geo.geo_metrics(located(spark, sf_dir)).select(F.col("id").alias("place_id"), "isolation", "area_type", "coord_source")
     d = d.withColumn("phone_reused", F.exists("spam_flags", lambda f: f["code"] == "PHONE_REUSE")).withColumns({n: F.expr(e) for n, e in _GIVEN.items()})
     return d.join(g, "place_id", "left")
 
