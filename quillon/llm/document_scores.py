@@ -1,0 +1,282 @@
+"""Operator 8 over whole tables: every document is scored against all documents, contexts of any length, as in lm_score.
+
+The texts to score are the corpus, so nothing is looked up shard by shard: occurrences are partitioned by context, in ROUNDS.
+
+1. A round (D, E) takes the positions whose last D words occur at least twice (at first, all), keys each by the least fingerprint among
+   the runs of D / 2 words in its last D words, which is the same wherever those words stand, and sends it with up to E words of its
+   left context to the partition of that key. Neighbours with the same anchor share one piece of text.
+2. There the positions are grouped by fingerprints (64 bits) of their last n words; a group's size is the count of those words in the whole corpus.
+   Counts fall with n, so the lengths at which they change are found by halving; where both ends are equal, all between are.
+3. The changes go back to their slice of the corpus. Positions that still occur twice at length E go on to the next round; a word sequence that occurs
+   twice lies within a stretch of such positions, so contexts end where the stretch begins. The last round has no E.
+4. Each slice's words are scored from the changes: where counts stay the same over several lengths, the smoothing has a closed form.
+
+Shuffled: each position once with its next words, packed, the changes of its counts, and repeated stretches once a round. No text is sent to the driver or
+to all executors; only the number of words is.
+
+Results: a row per document: doc_id, n_words, log_prob (the sum), and for each word context_count, next_count, log_probs as in lm_score, and shared_words,
+the length of the longest context that occurs a second time. The document itself is part of the corpus and counts, so the longest context is always all
+that comes before. Contexts don't cross documents; repeated documents count as often as they are there. A null or empty text has no words and 0.0. Extra
+columns don't matter; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import _BASE, _powers, checkpoint, mix, slices, spread, word_codes
+from .lm_score import GAMMA, VOCABULARY
+from .suffix_dedup import _least
+
+ROUNDS = ((1, 4), (4, 16), (16, 128), (128, None))
+SLICE_BYTES = 8 << 20
+#: Partitions of contexts for each shuffle partition: one is worked on at a time.
+PARTS = 2
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))  # noqa: S301
+
+
+def _thin(x: np.ndarray) -> np.ndarray:
+    """The same numbers (not negative) in the narrowest type."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context, k = TaskContext.get(), 0
+    base = (context.partitionId() if context else 0) << 32
+    for part in slices(batches, "text", SLICE_BYTES):
+        off, codes = word_codes(part.column("text"), lower=True)
+        vocabulary, index = np.unique(codes, return_inverse=True)
+        ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
+        yield pa.RecordBatch.from_arrays([pa.array([base + k]), ids, pa.array([_packed(off, vocabulary, _thin(index))], pa.binary()), pa.array([len(codes)], pa.int64())], names=["g", "ids", "tokens", "words"])
+        k += 1
+
+
+def _changes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, count) of a slice: from that length on its count is this one; by position and length."""
+    parts = [_unpacked(x) for x in found]
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    p = np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in parts])
+    n, c = (np.concatenate([x[k].astype(np.int64) for x in parts]) for k in (1, 2))
+    order = np.lexsort((n, p))
+    return p[order], n[order], c[order]
+
+
+def _pieces(short: int, long: int | None, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, tokens, found in zip(b.column("g").to_pylist(), b.column("tokens").to_pylist(), b.column("found").to_pylist() if short > 1 else [None] * b.num_rows, strict=True):
+                off, vocabulary, index = _unpacked(tokens)
+                row, inner = spread(off)
+                if short == 1:
+                    first = last = np.arange(len(index))
+                    key, bound = mix(vocabulary[index]), off[row]
+                else:
+                    live = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpacked(x)[0].astype(np.int64)) for x in found)]))
+                    live = live[inner[live] + 1 >= short]
+                    if not len(live):
+                        continue
+                    least, prints = _least(vocabulary[index], short)
+                    place = least[live - short + 1]
+                    stretch = np.concatenate([[True], (live[1:] != live[:-1] + 1) | (row[live[1:]] != row[live[:-1]])])
+                    head = np.flatnonzero(stretch | np.concatenate([[True], place[1:] != place[:-1]]))
+                    first, last = live[head], live[np.append(head[1:], len(live)) - 1]
+                    begin = live[np.maximum.accumulate(np.where(stretch, np.arange(len(live)), 0))][head]
+                    key, bound = prints[place[head]], begin - short + 1
+                start = bound if long is None else np.maximum(bound, first - long + 1)
+                part = (mix(key) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+                mark = np.zeros(len(vocabulary), np.int64)
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    chosen = order[x:y]
+                    s, e = start[chosen], last[chosen] + 1
+                    o = np.concatenate([[0], np.cumsum(e - s)])
+                    words = index[np.arange(o[-1]) + np.repeat(s - o[:-1], e - s)]
+                    mark[:] = 0
+                    mark[words] = 1
+                    used = np.flatnonzero(mark)
+                    mark[used] = np.arange(len(used))
+                    data = _packed(vocabulary[used], _thin(mark[words]), _thin(e - s), _thin(e - first[chosen]), _thin(np.diff(e, prepend=0)))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[chosen[0]])], pa.int32()), pa.array([g], pa.int64()), pa.array([data], pa.binary())], names=["part", "g", "data"])
+
+    return run
+
+
+def _sizes(h: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _falls(codes: np.ndarray, at: np.ndarray, have: np.ndarray, short: int, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which, length, count): each position's counts at short, and wherever they change up to most. Position k ends at at[k] and has have[k] words."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * _powers(len(codes), _BASE), dtype=np.uint64)])
+        inverse = _powers(len(codes) + 1, pow(_BASE, -1, 2**64))
+
+    def counts(who: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(who), np.int64)
+        long = np.flatnonzero(have[who] >= n)
+        end = at[who[long]] + 1
+        with np.errstate(over="ignore"):
+            out[long] = _sizes(mix((total[end] - total[end - n]) * inverse[end - n]))
+        return out
+
+    everyone = np.arange(len(at))
+    base = counts(everyone, short)
+    out = [(everyone, np.full(len(at), short), base)]
+    some = everyone[base > 1]
+    todo = [(some, short, most, base[some], counts(some, most))] if most > short and len(some) else []
+    while todo:
+        who, low, high, before, after = todo.pop()
+        differ = after < before
+        who, before, after = who[differ], before[differ], after[differ]
+        if not len(who):
+            continue
+        if high == low + 1:
+            out.append((who, np.full(len(who), high), np.maximum(after, 1)))  # none here: past a stretch's begin it occurs once, past the document's it isn't asked for
+            continue
+        mid = (low + high) // 2
+        between = counts(who, mid)
+        todo.append((who, low, mid, before, between))
+        more = between > 1
+        todo.append((who[more], mid, high, between[more], after[more]))  # from one occurrence on it stays one
+    return out
+
+
+def _counted(short: int, long: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            codes, at, have, where, owner, base = [], [], [], [], [], 0
+            for k, (_, data) in enumerate(held):
+                vocabulary, words, size, own, end = _unpacked(data)
+                size, own, end = size.astype(np.int64), own.astype(np.int64), np.cumsum(end.astype(np.int64))
+                codes.append(vocabulary[words])
+                stop = np.cumsum(size)
+                piece, inner = spread(np.concatenate([[0], np.cumsum(own)]))
+                local = stop[piece] - own[piece] + inner
+                at.append(base + local)
+                have.append(local - (stop - size)[piece] + 1)
+                where.append(end[piece] - own[piece] + inner)
+                owner.append(np.full(len(piece), k))
+                base += int(stop[-1])
+            codes, at, have, where, owner = (np.concatenate(x) for x in (codes, at, have, where, owner))
+            if long is not None:
+                have = np.minimum(have, long)
+            found = _falls(codes, at, have, short, long or int(have.max()) + 1)
+            last = np.zeros(len(at), np.int64)
+            for who, _, c in found:
+                last[who] = np.where(last[who] > 0, np.minimum(last[who], c), c)
+            live = np.flatnonzero(last > 1)
+            live_cuts = np.searchsorted(owner[live], np.arange(len(held) + 1))
+            if short > 1:
+                found = found[1:] or [(np.zeros(0, np.int64),) * 3]  # the first are known from the round before
+            who, n, c = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.lexsort((n, where[who], owner[who]))
+            who, n, c = who[order], n[order], c[order]
+            cuts = np.searchsorted(owner[who], np.arange(len(held) + 1))
+            for k, (g, _) in enumerate(held):
+                x = slice(cuts[k], cuts[k + 1])
+                place, on = where[who[x]], where[live[live_cuts[k] : live_cuts[k + 1]]]
+                if len(place) or len(on):
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_packed(_thin(np.diff(place, prepend=0)), _thin(n[x]), _thin(c[x]))], pa.binary()), pa.array([_packed(_thin(np.diff(on, prepend=0))) if len(on) else None], pa.binary())], names=["g", "data", "live"])
+
+        held, now = [], None
+        for b in batches:
+            for part, g, data in zip(*(b.column(n).to_pylist() for n in ("part", "g", "data")), strict=True):
+                if held and part != now:
+                    yield from work(held)
+                    held = []
+                now = part
+                held.append((g, data))
+        if held:
+            yield from work(held)
+
+    return run
+
+
+def _log_probs(off: np.ndarray, p: np.ndarray, n: np.ndarray, c: np.ndarray, total: int, gamma: float, vocabulary: float) -> tuple[np.ndarray, ...]:
+    """(context_count, next_count, log_prob, shared_words) of each word of a slice, from the changes of its positions' counts."""
+    words = int(off[-1])
+    _, i = spread(off)
+    head = np.searchsorted(p, np.arange(words + 1))
+    n, c = np.append(n, 0), np.append(c, 0)
+    b, b_end = head[:-1].copy(), head[1:]  # the word's own changes: counts with the next word
+    own = np.arange(words)
+    a, a_end = np.where(i > 0, head[np.maximum(own - 1, 0)], 0), np.where(i > 0, head[own], 0)
+    probs = (c[b] + 1) / (total + vocabulary)
+    context, following = np.full(words, total), c[b].copy()
+    shared, at = np.zeros(words, np.int64), np.ones(words, np.int64)
+    live = np.flatnonzero(i > 0)
+    while len(live):
+        depth = at[live]
+        for pointer, last, ahead in ((a, a_end, 0), (b, b_end, 1)):  # no two changes have the same length
+            step = (pointer[live] + 1 < last[live]) & (n[np.minimum(pointer[live] + 1, len(n) - 1)] <= depth + ahead)
+            pointer[live[step]] += 1
+        x, y = a[live], b[live]
+        far = np.iinfo(np.int64).max
+        end_a = np.where(x + 1 < a_end[live], n[np.minimum(x + 1, len(n) - 1)], far)
+        end_b = np.where(y + 1 < b_end[live], n[np.minimum(y + 1, len(n) - 1)] - 1, far)
+        stop = np.minimum(np.minimum(end_a, end_b), i[live] + 1)
+        cc, ff = c[x], c[y]
+        limit = ff / cc
+        probs[live] = limit + (probs[live] - limit) * (gamma / (cc + gamma)) ** (stop - depth)
+        context[live], following[live] = cc, ff
+        shared[live[cc > 1]] = (stop - 1)[cc > 1]
+        at[live] = stop
+        live = live[stop <= i[live]]
+    return context, following, np.log(probs), shared
+
+
+def document_scores(df: DataFrame, gamma: float = GAMMA, vocabulary: float = VOCABULARY, doc_id: str = "doc_id", text: str = "text", rounds: tuple = ROUNDS) -> DataFrame:
+    """A row per document: its words' scores against all documents of the table."""
+    kind = df.schema[doc_id].dataType
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    corpus = checkpoint(docs.mapInArrow(_tokens, f"g bigint, ids array<{kind.simpleString()}>, tokens binary, words bigint"))
+    total = corpus.agg(F.sum("words")).head()[0] or 0
+    parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known: DataFrame | None = None
+
+    def joined(found: DataFrame, what: str, *columns: str) -> DataFrame:
+        lists = found.filter(F.col(what).isNotNull()).groupBy("g").agg(F.collect_list(what).alias("found"))
+        return corpus.select("g", *columns).join(lists, "g", "left").withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
+
+    for short, long in rounds:
+        source = corpus.select("g", "tokens") if known is None else joined(more, "live", "tokens").select("g", "tokens", "found")
+        sent = source.mapInArrow(_pieces(short, long, parts), "part int, g bigint, data binary")
+        more = checkpoint(sent.repartition("part").sortWithinPartitions("part", "g").mapInArrow(_counted(short, long), "g bigint, data binary, live binary"))
+        known = more if known is None else known.unionByName(more)
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", kind), T.StructField("n_words", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("context_count", T.ArrayType(T.LongType())),
+            T.StructField("next_count", T.ArrayType(T.LongType())), T.StructField("log_probs", T.ArrayType(T.DoubleType())), T.StructField("shared_words", T.ArrayType(T.IntegerType())),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                off = _unpacked(b.column("tokens")[k].as_py())[0]
+                context, following, probs, shared = _log_probs(off, *_changes(b.column("found")[k].as_py()), total, gamma, vocabulary)
+                sums = np.concatenate([[0.0], np.cumsum(probs)])
+                lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x)) for x in (context, following, probs, shared.astype(np.int32))]
+                ids = b.column("ids").slice(k, 1).flatten()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off).astype(np.int32)), pa.array(sums[off[1:]] - sums[off[:-1]]), *lists], names=schema.names)
+
+    return joined(known, "data", "ids", "tokens").select("ids", "tokens", "found").mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, topk
+from . import chat, document_scores, line_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,8 @@ QUERIES: dict[str, Query] = {
     "op5_exact_topk": _over("embeddings", topk.top_k),
     "op6_kd_shards": _over("documents", sharding.kd_shards),
     "op7_quality_rules": _over("documents", quality.quality_filter),
-    "op8_lm_scores": _lm,
+    "op8_lm_scores": _over("documents", document_scores.document_scores),
+    "op8_lm_scores_benchmark": _lm,
     "op9_mixing": _over("documents", mixing.mix),
     "op10_near_dedup": _over("documents", near_dedup.groups),
 }

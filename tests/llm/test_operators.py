@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, common, line_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
+from quillon.llm import chat, common, document_scores, line_dedup, lm_score, mixing, near_dedup, quality, queries, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango".split()
@@ -243,6 +243,29 @@ def test_lm_scores(spark: SparkSession, shard: int, block: int) -> None:
     assert alone and all(abs(x["log_prob"] + math.log(lm_score.VOCABULARY)) < 1e-9 for x in alone)
 
 
+@pytest.mark.parametrize("rounds", [document_scores.ROUNDS, ((1, 2), (2, 5), (5, None)), ((1, None),)])
+def test_document_scores(spark: SparkSession, rounds: tuple) -> None:
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice("a b c d".split()) for _ in range(n))
+    long = prose(3, 45)
+    rows = [(i, say(r.randrange(30))) for i in range(12)] + [(20, None), (21, ""), (22, "A b A b A b"), (22, "A b A b A b"), (None, "lone"), (23, long), (24, edited(long, 30, 1)), (25, f"{say(3)} {long}"), (26, long)]
+    want = defaultdict(list)
+    for i, k, _, _, context, following, p in score_by_hand([(j, t) for j, (_, t) in enumerate(rows)], [t for _, t in rows]):
+        want[i].append((context, following, p))
+    out = document_scores.document_scores(docs(spark, *rows), rounds=rounds).collect()
+    got = [(x["doc_id"], x["n_words"], [(c, f, round(p, 9)) for c, f, p in zip(x["context_count"], x["next_count"], x["log_probs"])]) for x in out]
+    key = lambda x: (str(x[0]), x[1], str(x[2]))
+    assert sorted(got, key=key) == sorted(((i, len(want[j]), want[j]) for j, (i, _) in enumerate(rows)), key=key)
+    assert all(abs(x["log_prob"] - sum(x["log_probs"])) < 1e-9 for x in out)
+    assert document_scores.document_scores(docs(spark, *rows).limit(0)).count() == 0
+
+
+def test_every_document_is_scored(spark: SparkSession) -> None:
+    sf = "/root/testdata/sf0.001"
+    got = Counter(x["doc_id"] for x in queries.QUERIES["op8_lm_scores"](spark, sf).select("doc_id").collect())
+    assert got == Counter(x["doc_id"] for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def mixed_by_hand(rows: list[tuple], alpha: float = mixing.ALPHA) -> Counter:
     import hashlib
