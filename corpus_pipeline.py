@@ -1,6 +1,6 @@
 """The corpus pipeline: documents in, token ids out. Each stage's rows are written as Parquet and read again as the next one's.
 
-Counted as part of the subpackage llm. Near copies are compared after boilerplate lines are gone, mixing weights are measured on what
+Counted as part of the subpackage llm. Near copies are compared after boilerplate lines are gone (a large group of copies keeps one copy of its lines), mixing weights are measured on what
 is kept, and only that is encoded.
 """
 
@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(docs)
+    return line_dedup.line_dedup(docs, copies_once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

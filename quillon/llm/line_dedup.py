@@ -9,11 +9,15 @@ keeps ''. n_chars, where there is one, is the new text's length (null for a null
 so repeated rows count once and get the same result, and rows with a null id count by their text. A tie (a line in
 exactly max_docs documents) stays. Extra columns are kept, clashing helper names avoided; an empty table gives an
 empty table.
+
+With copies_once (the pipeline's way) large groups of copies keep their content: documents are distinct texts, so that exact copies count once,
+whatever their ids. Where lines to drop make at least half of a document (by characters that aren't white space), it is taken for one of many near copies:
+of each such line, one of these documents (the least by key) keeps it. A document that loses all its lines to others goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, row_key
@@ -26,21 +30,33 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[ \t\r\f]+", " ")))
 
 
-def line_dedup(df: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    key, pos, line, one, two, drop, docs = fresh(df, "key", "pos", "line", "one", "two", "drop", "docs")
-    keyed = df.withColumn(key, row_key(doc_id, text))
+def _solid(text: Column) -> Column:
+    """Characters that aren't white space."""
+    return F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def line_dedup(df: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", copies_once: bool = False) -> DataFrame:
+    key, pos, line, one, two, drop, docs, size, whole, keeper = fresh(df, "key", "pos", "line", "one", "two", "drop", "docs", "size", "whole", "keeper")
+    keyed = df.withColumn(key, row_key(text) if copies_once else row_key(doc_id, text))
     lines = (
-        keyed.select(key, F.posexplode(F.split(F.col(text), "\n")).alias(pos, line))
+        keyed.select(key, _solid(F.col(text)).alias(whole), F.posexplode(F.split(F.col(text), "\n")).alias(pos, line))
         .withColumn(line, normal_line(F.col(line)))
         .filter(F.col(line) != "")
-        .select(key, pos, F.xxhash64(line).alias(one), F.xxhash64(F.lit(1), F.reverse(line)).alias(two))
+        .select(key, pos, F.xxhash64(line).alias(one), F.xxhash64(F.lit(1), F.reverse(line)).alias(two), _solid(F.col(line)).alias(size), whole)
     )
     common = lines.select(one, two, key).distinct().groupBy(one, two).agg(F.count(F.lit(1)).alias(docs)).filter(F.col(docs) > max_docs).select(one, two)
-    drops = lines.join(common, [one, two], "left_semi").groupBy(key).agg(F.collect_set(pos).alias(drop))
+    hits = lines.join(common, [one, two], "left_semi")
+    if copies_once:
+        hits = hits.dropDuplicates([key, pos]).withColumn(docs, F.sum(size).over(Window.partitionBy(key)))
+        keepers = hits.filter(F.col(docs) * 2 >= F.col(whole)).groupBy(one, two).agg(F.min(key).alias(keeper))
+        hits = hits.join(keepers, [one, two], "left").filter(F.col(keeper).isNull() | (F.col(keeper) != F.col(key)))
+    drops = hits.groupBy(key).agg(F.collect_set(pos).alias(drop))
     joined = keyed.join(drops, key, "left")
     kept = F.array_join(
         F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.when(F.array_contains(drop, i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "\n"
     )
+    if copies_once:
+        joined = joined.filter(F.col(drop).isNull() | (_solid(kept) > 0))
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept)
     out = {text: new}
     if n_chars is not None and n_chars in df.columns:

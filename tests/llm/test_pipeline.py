@@ -29,6 +29,17 @@ def test_stages(spark: SparkSession, tmp_path) -> None:
     assert out.filter("size(ids) <> n_tokens").count() == 0
 
 
+def test_large_groups_of_copies(spark: SparkSession, tmp_path) -> None:
+    exact, near = [prose(500 + k, 40) for k in range(3)], [prose(600 + k, 40) for k in range(3)]
+    rows = [(i, f"{prose(i, 60)}\nread more here") for i in range(60)] + [(100 + i, "\n".join(exact)) for i in range(60)]
+    rows += [(200 + i, "\n".join([*near[: i % 3], prose(700 + i, 25), *near[i % 3 :]])) for i in range(60)] + [(300 + i, "\n".join([*near, ""] if i else near)) for i in range(2)]
+    docs(spark, *rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [r["decoded"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert [t for t in texts if exact[0] in t] == ["\n".join(exact)]
+    assert all(sum(x in t for t in texts) == 1 for x in [*exact, *near, *(prose(i, 60) for i in range(60)), *(prose(700 + i, 25) for i in range(60))])
+    assert all(t.strip() and "read more" not in t for t in texts)
+
+
 def test_stages_by_name() -> None:
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "mixing", "encoding"] and corpus_pipeline.ORACLE_SQL is None
 
