@@ -37,6 +37,8 @@ MARGIN = 0.12
 #: Keys of documents with a partner, up to this number (8 bytes each), are sent to every executor instead of shuffling all texts.
 BROADCAST_ROWS = 1_000_000
 _EDGE = "\"'`.,;:!?()[]{}<>|*#%&$@^~=+/\\_-…“”‘’«»¿¡"
+#: A text with words, in any script: something other than white space and what is stripped from words.
+_WORD = r"(?U)[^\s" + "".join("\\" + c for c in _EDGE) + "]"
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def drop_near_copies(df: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     gone = checkpoint(_grouped(df, threshold, doc_id, text).filter("first > 1").select(F.col("rid").alias(key)))
     keyed = df.withColumn(key, row_key(doc_id, text))
     kept = keyed.join(F.broadcast(gone) if small_enough(gone, BROADCAST_ROWS) else gone, key, "left_anti")
-    again = keyed.filter(F.col(text).rlike(r"\w")).groupBy(key).count().filter("count > 1").select(key)
+    again = keyed.filter(F.col(text).rlike(_WORD)).groupBy(key).count().filter("count > 1").select(key)
     again = checkpoint(again)
     if not again.isEmpty():
         twice = kept.join(again, key, "left_semi").dropDuplicates([key])

@@ -340,6 +340,13 @@ def test_near_dedup_repeated_rows(spark: SparkSession) -> None:
     assert left == Counter({(1, t): 1, (None, None): 1, (2, ""): 2})
 
 
+def test_near_dedup_repeated_rows_in_other_scripts(spark: SparkSession) -> None:
+    texts = ["быстрая лиса прыгает через ленивую собаку", "η γρήγορη αλεπού πηδά", "敏捷的棕色狐狸", "الثعلب البني السريع", "→ ☃"]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(9, "... _ -"), (9, "... _ -")]
+    left = Counter((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(docs(spark, *rows)).collect())
+    assert left == Counter({**{x: 1 for x in rows[:5]}, (9, "... _ -"): 2})
+
+
 def test_estimates_and_merging() -> None:
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**32, 900, np.uint32), r.integers(0, 2**32, 900, np.uint32)
