@@ -14,6 +14,7 @@ are one conversation. An empty table gives an empty table; extra columns don't c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,6 +49,9 @@ def last_answer_whole(messages: list[Message]) -> str:
     return "".join(f"<|{m['role']}|>\n{m['text'] if m['role'] != 'assistant' or k == last else m['text'].rpartition(chr(10))[2]}\n" for k, m in enumerate(messages))
 
 
+TEMPLATES: tuple[Template, ...] = (marked_turns, folded_system, last_answer_whole)
+
+
 def spans(messages: list[Message], template: Template, closing: str = "") -> list[tuple[int, int, bool, str]]:
     """(start, end, rewrites history, rendered part) for each turn."""
     out, before = [], ""
@@ -94,6 +98,11 @@ def format_chats(df: DataFrame, template: Template = marked_turns, closing: str
     )
 
 
+def format_all(df: DataFrame) -> DataFrame:
+    """format_chats under each of TEMPLATES, with the template's name."""
+    return functools.reduce(DataFrame.unionByName, [format_chats(df, t).withColumn("template", F.lit(t.__name__)) for t in TEMPLATES])
+
+
 SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,

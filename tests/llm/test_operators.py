@@ -83,6 +83,14 @@ def test_chat_rewritten_history() -> None:
     assert not any(x[2] for x in chat.spans(m(("user", "q"), ("assistant", "a")), closing, "<GO>"))
 
 
+def test_chat_under_all_templates(spark: SparkSession, tmp_path) -> None:
+    rows = [(1, 0, "user", "q"), (1, 1, "system", "rules"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "think\nanswer"), (2, 2, "user", "r"), (2, 3, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.QUERIES["op2_chat_templates"](spark, str(tmp_path)).collect()
+    assert len(out) == 3 * len(rows) and {(r["template"], r["conv_id"], r["turn"]) for r in out if r["rewrites_history"]} == {("folded_system", 1, 1), ("last_answer_whole", 2, 3)}
+    assert {(r["template"], r["conv_id"]) for r in out if r["conversation_rewritten"]} == {("folded_system", 1), ("last_answer_whole", 2)}
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def lines_by_hand(rows: list[tuple], most: int) -> list[tuple]:
     normal = lambda x: " ".join(x.split(" ")).strip().lower()
