@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_templates": _over("conversations", chat.format_all),
     "op3_line_dedup": _over("documents", line_dedup.line_dedup),
     "op4_suffix_dedup": _over("documents", suffix_dedup.repeated_passages),
-    "op5_exact_topk": _over("embeddings", topk.top_k),
+    "op5_exact_topk": _over("embeddings", topk.every_hundredth),
     "op6_kd_shards": _over("documents", sharding.kd_shards),
     "op7_quality_rules": _over("documents", quality.quality_filter),
     "op8_lm_scores": _over("documents", document_scores.document_scores),

@@ -160,23 +160,47 @@ def test_suffix_array_and_prefixes() -> None:
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------
-def test_top_k(spark: SparkSession) -> None:
+def topk_by_hand(rows: list[tuple], asked: list[tuple], k: int) -> Counter:
+    """(id, rank, neighbour, score) of each query's k best rows."""
+    out: Counter = Counter()
+    for i, v in asked:
+        a = np.array(v, np.float32).astype(float)
+        found = [(-float(a @ np.array(w, np.float32).astype(float)), j is None, j if j is not None else type(i)(), j) for j, w in rows if (i is None or j != i) and len(w) == len(v)]
+        for rank, (s, _, _, j) in enumerate(sorted(found)[:k], 1):
+            out[i, rank, j, round(-s, 4)] += 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize(("k", "pack", "blocks"), [(10, 4096, (64, 4096)), (10, 16, (4, 8)), (200, 4096, (64, 4096))])
+def test_top_k(spark: SparkSession, kind: str, k: int, pack: int, blocks: tuple[int, int]) -> None:
     r = np.random.default_rng(5)
-    vectors = [(int(i), [float(x) for x in np.round(v, 2)]) for i, v in enumerate(r.normal(size=(90, 8)))]
-    vectors += [(200, vectors[0][1]), (201, vectors[0][1])]  # ties
-    bad = [(300, None), (301, []), (302, [float("nan")] * 8), (303, [1.0, None] + [0.0] * 6), (304, [1.0, 2.0])]
-    d = spark.createDataFrame(vectors + bad, "vec_id bigint, embedding array<float>").withColumn("pack", F.lit(1)).withColumn("rank", F.lit("x"))
-    for k, pack in ((10, 4096), (10, 16), (200, 4096)):
-        got = defaultdict(list)
-        for x in topk.top_k(d, k=k, pack=pack).orderBy("vec_id", "rank").collect():
-            got[x["vec_id"]].append((x["neighbor_id"], x["score"]))
-        for i, v in vectors:
-            a = np.array(v, np.float32).astype(float)
-            want = sorted(((-float(a @ np.array(w, np.float32).astype(float)), j) for j, w in vectors if j != i))[:k]
-            assert [j for _, j in want] == [j for j, _ in got[i]]
-            assert all(abs(-s - y) < 1e-6 for (s, _), (_, y) in zip(want, got[i]))
-        assert not {300, 301, 302, 303, 304} & set(got)
-    assert topk.top_k(d.limit(0)).count() == 0
+    name = (lambda i: i) if kind == "bigint" else (lambda i: f"v{i}")
+    vectors = [(name(i), [float(x) for x in np.round(v, 2)]) for i, v in enumerate(r.normal(size=(90, 8)))]
+    vectors += [(name(200), vectors[0][1]), (name(201), vectors[0][1]), (name(0), vectors[3][1]), (name(7), vectors[7][1]), (None, vectors[4][1])]  # ties, one id on several rows, repeated rows
+    bad = [(name(300), None), (name(301), []), (name(302), [float("nan")] * 8), (name(303), [1.0, None] + [0.0] * 6), (name(304), [1.0, 2.0])]
+    d = spark.createDataFrame(vectors + bad, f"vec_id {kind}, embedding array<float>").withColumn("pack", F.lit(1)).withColumn("rank", F.lit("x"))
+    got = Counter((x["vec_id"], x["rank"], x["neighbor_id"], round(x["score"], 4)) for x in topk.top_k(d, k=k, pack=pack, blocks=blocks).collect())
+    assert got == topk_by_hand(vectors, vectors, k)
+    some = [name(4), name(9), None]
+    few = topk.top_k(d, k=k, queries=F.col("vec_id").isin(some[:2]) | F.col("vec_id").isNull(), pack=pack, blocks=blocks)
+    assert Counter((x["vec_id"], x["rank"], x["neighbor_id"], round(x["score"], 4)) for x in few.collect()) == topk_by_hand(vectors, [x for x in vectors if x[0] in some], k)
+    assert topk.top_k(d.limit(0)).count() == 0 and topk.top_k(d, queries=F.lit(False)).count() == 0
+
+
+def test_lists_are_read_in_part() -> None:
+    r = np.random.default_rng(6)
+    for rows, most in ((r.normal(size=(3000, 32)), 0.95), (r.normal(size=(20, 1, 32)).repeat(150, 1).reshape(-1, 32) + 0.1 * r.normal(size=(3000, 32)), 0.6)):
+        rows = rows.astype(np.float32)
+        lists = topk.Lists(rows)
+        for q in rows[::500].astype(float):
+            best = np.argsort(-(lists.rows @ q), kind="stable")[:10]
+            found, read, _ = topk.nra(q, lists, 10)
+            assert set(best) <= set(found.tolist()) and read <= most * rows.size
+            floor = float(lists.rows[best[-1]] @ q)
+            found, again, _ = topk.nra(q, lists, 10, floor)
+            assert set(best) <= set(found.tolist()) and again <= read
+            assert topk.nra(q, lists, 10, 1e9)[1] == 0  # no row can have that score: nothing is read
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
