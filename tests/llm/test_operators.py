@@ -220,6 +220,52 @@ def test_kd_shards(spark: SparkSession) -> None:
     assert sharding.kd_shards(d.limit(0)).count() == 0 and {r["shard"] for r in sharding.kd_shards(d, target_bytes=1 << 30).collect()} == {1}
 
 
+def shards_by_hand(rows: list[tuple], sizes: list[int], target: int) -> list[int]:
+    """Each row's shard: rows of dimension values, split one node after the other."""
+    width = len(rows[0])
+    coded = []
+    for k in range(width):
+        there = sorted({r[k] for r in rows if r[k] is not None})
+        code = {v: v if isinstance(v, int) else n for n, v in enumerate(there)}
+        coded.append([code[r[k]] if r[k] is not None else min(code.values(), default=1) - 1 for r in rows])
+    span = [max(1, max(c) - min(c)) for c in coded]
+    out, todo = [0] * len(rows), [(1, list(range(len(rows))))]
+    while todo:
+        node, own = todo.pop()
+        wide = [(max(c[i] for i in own) - min(c[i] for i in own)) / s for c, s in zip(coded, span)]
+        if sum(sizes[i] for i in own) <= target or max(wide) == 0:
+            for i in own:
+                out[i] = node
+            continue
+        c = coded[wide.index(max(wide))]
+        upto, half = 0, sum(sizes[i] for i in own) / 2
+        for i in sorted(own, key=lambda i: c[i]):
+            upto += sizes[i]
+            if upto >= half:
+                middle = c[i]
+                break
+        right = {i for i in own if (c[i] > middle if middle < max(c[i] for i in own) else c[i] >= middle)}
+        todo += [(2 * node, [i for i in own if i not in right]), (2 * node + 1, list(right))]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_kd_shards_by_hand(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, broadcast: bool) -> None:
+    if not broadcast:
+        monkeypatch.setattr(sharding, "BROADCAST_NODES", 0)
+    r = random.Random(6)
+    names = ["https://example.org/a", "https://example.org/b", "https://example.org/ab", "common_crawl_a", "common_crawl_b", "", "é", None]
+    rows = [(r.choice(names), r.choice([-2, -1, 0, 5, 2**62, None]), r.choice([0.1, 0.2, 0.25, -0.5, 7.5, None]), r.randrange(10**6)) for _ in range(300)] + [("common_crawl_a", 1, 0.1, 3)] * 30
+    texts = [r.choice([None, "", "x" * r.randrange(60), "é" * 20]) for _ in rows] + []
+    texts[7] = "y" * 200_000  # a very long text
+    d = spark.createDataFrame([(k, t, *x) for k, (t, x) in enumerate(zip(texts, rows))], "doc_id bigint, text string, source string, whole bigint, share double, far bigint").withColumn("node", F.lit("x")).withColumn("at", F.lit(0)).withColumn("value0", F.lit(0))
+    sizes = [len((t or "").encode()) for t in texts]
+    got = {x["doc_id"]: (x["n_bytes"], x["shard"]) for x in sharding.kd_shards(d, 1500, ("source", "whole", "share", "far")).collect()}
+    assert [got[k] for k in range(len(rows))] == list(zip(sizes, shards_by_hand(rows, sizes, 1500)))
+    only = {x["doc_id"]: x["shard"] for x in sharding.kd_shards(d, 1500, ("source",)).collect()}  # long common prefixes are told apart
+    assert [only[k] for k in range(len(rows))] == shards_by_hand([x[:1] for x in rows], sizes, 1500) and len(set(only.values())) == len(names)
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def test_quality(spark: SparkSession) -> None:
     good = "The quick brown fox jumps over the lazy dog. It was a bright day in the town, and people were out."
