@@ -14,12 +14,14 @@ are one conversation. An empty table gives an empty table; extra columns don't c
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import SLICE_BYTES
 
 Message = dict[str, str]
 Template = Callable[[list[Message]], str]
@@ -72,43 +74,73 @@ def spans(messages: list[Message], template: Template, closing: str = "") -> lis
     return out
 
 
-def format_chats(df: DataFrame, template: Template = marked_turns, closing: str = "", conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row per turn: conv_id, turn, ord, role, span_start, span_end, rewrites_history, rendered; and whether the conversation has any rewriting turn.
+def format_chats(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, closing: str = "", conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A row per turn and template: template (its function's name), conv_id, turn, ord, role, span_start, span_end, rewrites_history, conversation_rewritten (whether any turn rewrites), rendered.
 
-    One shuffle, by conversation; a conversation must fit into a task, as the template needs it whole.
+    One shuffle, by conversation; a conversation must fit into a task, as the templates need it whole.
     """
     convs = df.groupBy(F.col(conv_id).alias("conv_id")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("user")).alias("role"), F.coalesce(text, F.lit("")).alias("text")))).alias("turns")
     )
-    schema = f"conv_id {df.schema[conv_id].dataType.simpleString()}, ords array<int>, starts array<int>, ends array<int>, rewrites array<boolean>, parts array<string>, turns array<struct<turn:{df.schema[turn].dataType.simpleString()},role:string>>, any_rewrite boolean"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for conv, turns in zip(frame["conv_id"], frame["turns"], strict=True):
-                found = spans([{"role": t["role"], "text": t["text"]} for t in turns], template, closing)
-                rows.append(
-                    (conv if not pd.isna(conv) else None, list(range(len(found))), [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [x[3] for x in found], [{"turn": t["turn"], "role": t["role"]} for t in turns], any(x[2] for x in found))
-                )
-            yield pd.DataFrame(rows, columns=["conv_id", "ords", "starts", "ends", "rewrites", "parts", "turns", "any_rewrite"])
-
-    done = convs.mapInPandas(run, schema)
-    return done.select("conv_id", "any_rewrite", F.inline(F.arrays_zip("ords", "starts", "ends", "rewrites", "parts", "turns"))).select(
-        "conv_id", "turns.turn", F.col("ords").alias("ord"), "turns.role", F.col("starts").alias("span_start"), F.col("ends").alias("span_end"), F.col("rewrites").alias("rewrites_history"), F.col("any_rewrite").alias("conversation_rewritten"), F.col("parts").alias("rendered")
-    )
-
-
-def format_all(df: DataFrame) -> DataFrame:
-    """format_chats under each of TEMPLATES, with the template's name."""
-    return functools.reduce(DataFrame.unionByName, [format_chats(df, t).withColumn("template", F.lit(t.__name__)) for t in TEMPLATES])
+    columns = {"template": T.StringType(), "conv_id": df.schema[conv_id].dataType, "turn": df.schema[turn].dataType, "ord": T.IntegerType(), "role": T.StringType(), "span_start": T.IntegerType(), "span_end": T.IntegerType(), "rewrites_history": T.BooleanType(), "conversation_rewritten": T.BooleanType(), "rendered": T.StringType()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("turns")
+            off, flat = lists.offsets.to_numpy(), lists.values
+            held: list[list] = [[] for _ in range(9)]  # a turn's place in flat stands for turn and role
+            size = 0
+
+            def emit() -> pa.RecordBatch:
+                template, conv, place, order, start, end, rewrites, any_rewrite, part = held
+                at = pa.array(place, pa.int64())
+                arrays = [pa.array(template, pa.string()), b.column("conv_id").take(pa.array(conv, pa.int64())), flat.field("turn").take(at), pa.array(order, pa.int32()), flat.field("role").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(rewrites, pa.bool_()), pa.array(any_rewrite, pa.bool_()), pa.array(part, pa.string())]
+                return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+            for c in range(b.num_rows):
+                roles, texts = (flat.field(n).slice(off[c], off[c + 1] - off[c]).to_pylist() for n in ("role", "text"))
+                messages = [{"role": r, "text": t} for r, t in zip(roles, texts, strict=True)]
+                for template in templates:
+                    found = spans(messages, template, closing)
+                    any_rewrite = any(x[2] for x in found)
+                    for k, (start, end, rewrites, part) in enumerate(found):
+                        for column, value in zip(held, (template.__name__, c, off[c] + k, k, start, end, rewrites, any_rewrite, part), strict=True):
+                            column.append(value)
+                        size += len(part)
+                    if size > SLICE_BYTES:
+                        yield emit()
+                        held, size = [[] for _ in range(9)], 0
+            if held[0]:
+                yield emit()
+
+    return convs.select("conv_id", "turns").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in columns.items()]))
 
 
 SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) - 1 AS ord FROM conversations),
-p AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM t),
-s AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY ord) AS span_end FROM p)
-SELECT conv_id, turn, ord::INTEGER AS ord, role, (span_end - length(rendered))::INTEGER AS span_start, span_end::INTEGER AS span_end,
-       false AS rewrites_history, false AS conversation_rewritten, rendered FROM s
+x AS (SELECT a.conv_id, a.ord AS k, b.role, b.text, b.ord FROM t a JOIN t b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.ord <= a.ord),
+h AS (
+  SELECT conv_id, k, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (role = 'system'), '') AS system,
+         min(ord) FILTER (role <> 'system') AS first, max(ord) FILTER (role = 'assistant') AS answer FROM x GROUP BY conv_id, k),
+e AS (SELECT x.*, h.system, h.first, h.answer FROM x JOIN h ON x.conv_id IS NOT DISTINCT FROM h.conv_id AND x.k = h.k),
+r AS (
+  SELECT 'marked_turns' AS template, conv_id, k, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY ord) AS now FROM e GROUP BY conv_id, k
+  UNION ALL
+  SELECT 'folded_system', conv_id, k, coalesce(string_agg(
+           CASE WHEN role = 'user' THEN '[INST] ' ELSE ' ' END
+           || CASE WHEN ord = first AND system <> '' THEN '<<SYS>>' || chr(10) || system || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END
+           || text || CASE WHEN role = 'user' THEN ' [/INST]' ELSE ' </s>' END, '' ORDER BY ord) FILTER (role <> 'system'), '') FROM e GROUP BY conv_id, k
+  UNION ALL
+  SELECT 'last_answer_whole', conv_id, k, string_agg(
+           '<|' || role || '|>' || chr(10) || CASE WHEN role <> 'assistant' OR ord = answer THEN text ELSE string_split(text, chr(10))[-1] END || chr(10), '' ORDER BY ord) FROM e GROUP BY conv_id, k),
+b AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY template, conv_id ORDER BY k), '') AS before FROM r),
+s AS (
+  SELECT template, conv_id, k, now, NOT starts_with(now, before) AS rewrites_history,
+         CASE WHEN starts_with(now, before) THEN length(before)
+              ELSE coalesce(list_min([i for i in range(1, least(length(now), length(before)) + 1) if now[i] <> before[i]]) - 1, least(length(now), length(before))) END AS span_start FROM b)
+SELECT s.template, t.conv_id, t.turn, t.ord::INTEGER AS ord, t.role, span_start::INTEGER AS span_start, length(now)::INTEGER AS span_end, rewrites_history,
+       bool_or(rewrites_history) OVER (PARTITION BY s.template, s.conv_id) AS conversation_rewritten, substr(now, span_start + 1) AS rendered
+FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.k = t.ord
 """

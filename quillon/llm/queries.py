@@ -22,7 +22,6 @@ def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": _over("documents", lambda d: sentencepiece_codec.encode_decode(d.select("doc_id", "text"))),
     "op2_chat_format": _over("conversations", chat.format_chats),
-    "op2_chat_templates": _over("conversations", chat.format_all),
     "op3_line_dedup": _over("documents", line_dedup.line_dedup),
     "op4_suffix_dedup": _over("documents", suffix_dedup.repeated_passages),
     "op5_exact_topk": _over("embeddings", topk.every_hundredth),
