@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, common, document_scores, line_dedup, lm_score, mixing, near_dedup, quality, queries, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
+from tests.compare import difference
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango".split()
@@ -65,7 +67,7 @@ def test_codec_hard_rows(spark: SparkSession) -> None:
 def test_chat_spans(spark: SparkSession) -> None:
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (2, None, None, None), (None, 1, "user", "x" * 50000), (None, 1, "user", "y")]
     d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("ord", F.lit(9)).withColumn("turns", F.lit("x"))
-    out = chat.format_chats(d).orderBy("conv_id", "ord").collect()
+    out = chat.format_chats(d, (chat.marked_turns,)).orderBy("conv_id", "ord").collect()
     assert len(out) == len(rows) and not any(r["rewrites_history"] for r in out)
     one = [r for r in out if r["conv_id"] == 1]
     assert [r["turn"] for r in one] == [1, 1, 2] and one[0]["span_start"] == 0 and all(a["span_end"] == b["span_start"] for a, b in zip(one, one[1:]))
@@ -86,11 +88,22 @@ def test_chat_rewritten_history() -> None:
 def test_chat_under_all_templates(spark: SparkSession, tmp_path) -> None:
     rows = [(1, 0, "user", "q"), (1, 1, "system", "rules"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "think\nanswer"), (2, 2, "user", "r"), (2, 3, "assistant", "z")]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    out = queries.QUERIES["op2_chat_templates"](spark, str(tmp_path)).collect()
+    out = queries.QUERIES["op2_chat_format"](spark, str(tmp_path)).collect()
     assert len(out) == 3 * len(rows) and {(r["template"], r["conv_id"], r["turn"]) for r in out if r["rewrites_history"]} == {("folded_system", 1, 1), ("last_answer_whole", 2, 3)}
     assert {(r["template"], r["conv_id"]) for r in out if r["conversation_rewritten"]} == {("folded_system", 1), ("last_answer_whole", 2)}
 
 
+def test_chat_sql_on_hard_rows(spark: SparkSession, tmp_path) -> None:
+    r = random.Random(2)
+    rows = [(r.choice([None, 1, 2, 2**53 + 1, 2**53 + 2]), r.choice([None, 0, 1, 2, 3]), r.choice([None, "user", "system", "assistant"]), r.choice([None, "", "q", "a\nb", "é漢\n\n", "x" * 2000])) for _ in range(60)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    out = queries.QUERIES["op2_chat_format"](spark, str(tmp_path))
+    assert difference(out, database, chat.SQL) is None
+    assert out.filter("rewrites_history").count() and out.count() == 180
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def lines_by_hand(rows: list[tuple], most: int) -> list[tuple]:
     normal = lambda x: " ".join(x.split(" ")).strip().lower()
@@ -411,6 +424,18 @@ def test_near_dedup(spark: SparkSession) -> None:
     assert near_dedup.groups(d.limit(0)).count() == 0 and near_dedup.drop_near_copies(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, near_dedup.BLOCK])
+def test_near_dedup_in_hot_buckets(spark: SparkSession, block: int) -> None:
+    """Texts from a few templates: their similarities lie on both sides of the threshold, and buckets hold many groups."""
+    r = random.Random(4)
+    frames = [prose(900 + k, 160).split() for k in range(2)]
+    rows = [(i, " ".join(w if r.random() > share else f"own{r.randrange(10**6)}" for w in frames[i % 2])) for i in range(120) for share in [r.choice([0.02, 0.2, 0.4])]]
+    found = defaultdict(set)
+    for x in near_dedup.groups(docs(spark, *rows), block=block).collect():
+        found[x["group_id"]].add(x["doc_id"])
+    assert {frozenset(g) for g in found.values()} == near_by_hand(rows, near_dedup.THRESHOLD)
+
+
 def test_near_dedup_repeated_rows(spark: SparkSession) -> None:
     t = prose(1, 50)
     d = docs(spark, (1, t), (1, t), (None, t), (None, None), (2, ""), (2, ""))
