@@ -141,21 +141,36 @@ def passages_by_hand(rows: list[tuple], m: int) -> set[tuple]:
     return out
 
 
-@pytest.mark.parametrize("shard", [200, 1 << 19])
-def test_repeated_passages(spark: SparkSession, shard: int) -> None:
+@pytest.mark.parametrize(("shard", "hot"), [(200, 10**9), (1 << 19, 10**9), (1 << 19, 3)])
+def test_repeated_passages(spark: SparkSession, shard: int, hot: int) -> None:
     shared, other = prose(100, 70), prose(101, 55)
     rows = [(i, f"{prose(i, 40)} {shared} {prose(50 + i, 30)}") for i in range(8)] + [(20, f"{other} {prose(21, 9)} {other}"), (21, prose(22, 300)), (22, prose(23, 49)), (23, None), (24, ""), (25, "z " * 120), (26, prose(22, 300) + " more")]
-    out = suffix_dedup.repeated_passages(docs(spark, *rows), shard_words=shard).collect()
-    got = {(r["doc_id"], x, r["keep"]) for r in out for x in range(r["start_word"], r["end_word"])}
-    assert got == passages_by_hand(rows, 50)
-    assert suffix_dedup.repeated_passages(docs(spark, *rows).limit(0)).count() == 0
+    rows += [(27, prose(24, 20_000)), (28, prose(24, 20_000) + " end")]  # very long texts
+    d = docs(spark, *rows)
+    got = {(r["doc_id"], x, r["keep"]) for r in suffix_dedup.repeated_passages(d, shard_words=shard, hot=hot).collect() for x in range(r["start_word"], r["end_word"])}
+    want = passages_by_hand(rows, 50)
+    assert got == want
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_passages(d, shard_words=shard, hot=hot).collect()}
+    for i, t in rows:
+        words = (t or "").split()
+        assert (cut[i] or "").split() == [w for x, w in enumerate(words) if (i, x, False) not in want or (i, x, True) in want]
+    assert cut[23] is None and cut[27] == rows[-2][1]
+
+
+def test_passages_of_string_ids(spark: SparkSession) -> None:
+    t = prose(7, 90)
+    d = spark.createDataFrame([("b", t, "x"), ("a", t, "y"), (None, t + " z", "z"), ("c", None, None)], "doc_id string, text string, passage_key string")
+    assert {(r["doc_id"], r["keep"]) for r in suffix_dedup.repeated_passages(d).collect()} == {(None, True), ("a", False), ("b", False)}
+    out = suffix_dedup.cut_passages(d)
+    assert out.columns == d.columns and Counter(tuple(r) for r in out.collect()) == Counter([("b", "", "x"), ("a", "", "y"), (None, t + " z", "z"), ("c", None, None)])
+    assert suffix_dedup.repeated_passages(d.limit(0)).count() == 0 and suffix_dedup.cut_passages(d.limit(0)).count() == 0
 
 
 def test_repeated_rows_are_one_document(spark: SparkSession) -> None:
     t = prose(7, 90)
     assert suffix_dedup.repeated_passages(docs(spark, (1, t), (1, t))).count() == 0
     assert {(r["doc_id"], r["keep"]) for r in suffix_dedup.repeated_passages(docs(spark, (1, t), (2, t), (None, t))).collect()} == {(None, True), (1, False), (2, False)}
-    assert suffix_dedup.cut_words("a  b c\nd", [(1, 3)]) == "a  d"
+    assert suffix_dedup.cut_words("a  b c\nd", [(1, 3)]) == "a  d" and suffix_dedup.cut_words(" a b c", [(0, 2)], [(1, 2)]) == " b c"
 
 
 def test_suffix_array_and_prefixes() -> None:
