@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key
+from .common import checkpoint, fresh, row_check, row_key, small_enough
 
 #: Lines in more documents than this are boilerplate. Copies of whole documents are left to near-dedup, so it is high.
 MAX_DOCS = 50
+#: Common lines (16 bytes each) and bytes of positions to drop that are sent to every executor.
+BROADCAST_LINES, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def normal_line(line: Column) -> Column:
@@ -36,22 +38,24 @@ def _solid(text: Column) -> Column:
 
 
 def line_dedup(df: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", copies_once: bool = False) -> DataFrame:
-    key, pos, line, one, two, drop, docs, size, whole, keeper = fresh(df, "key", "pos", "line", "one", "two", "drop", "docs", "size", "whole", "keeper")
-    keyed = df.withColumn(key, row_key(text) if copies_once else row_key(doc_id, text))
+    key, check, pos, line, one, two, drop, docs, size, whole, keeper = fresh(df, "key", "check", "pos", "line", "one", "two", "drop", "docs", "size", "whole", "keeper")
+    identity = (text,) if copies_once else (doc_id, text)
+    keyed = df.withColumn(key, row_key(*identity)).withColumn(check, row_check(*identity))
     lines = (
-        keyed.select(key, _solid(F.col(text)).alias(whole), F.posexplode(F.split(F.col(text), "\n")).alias(pos, line))
+        keyed.select(key, check, _solid(F.col(text)).alias(whole), F.posexplode(F.split(F.col(text), "\n")).alias(pos, line))
         .withColumn(line, normal_line(F.col(line)))
         .filter(F.col(line) != "")
-        .select(key, pos, F.xxhash64(line).alias(one), F.xxhash64(F.lit(1), F.reverse(line)).alias(two), _solid(F.col(line)).alias(size), whole)
+        .select(key, check, pos, F.xxhash64(line).alias(one), F.xxhash64(F.lit(1), F.reverse(line)).alias(two), _solid(F.col(line)).alias(size), whole)
     )
-    common = lines.select(one, two, key).distinct().groupBy(one, two).agg(F.count(F.lit(1)).alias(docs)).filter(F.col(docs) > max_docs).select(one, two)
-    hits = lines.join(common, [one, two], "left_semi")
+    common = checkpoint(lines.select(one, two, key).distinct().groupBy(one, two).agg(F.count(F.lit(1)).alias(docs)).filter(F.col(docs) > max_docs).select(one, two))
+    hits = lines.join(F.broadcast(common) if small_enough(common, BROADCAST_LINES) else common, [one, two], "left_semi")
     if copies_once:
-        hits = hits.dropDuplicates([key, pos]).withColumn(docs, F.sum(size).over(Window.partitionBy(key)))
-        keepers = hits.filter(F.col(docs) * 2 >= F.col(whole)).groupBy(one, two).agg(F.min(key).alias(keeper))
-        hits = hits.join(keepers, [one, two], "left").filter(F.col(keeper).isNull() | (F.col(keeper) != F.col(key)))
-    drops = hits.groupBy(key).agg(F.collect_set(pos).alias(drop))
-    joined = keyed.join(drops, key, "left")
+        hits = hits.dropDuplicates([key, check, pos]).withColumn(docs, F.sum(size).over(Window.partitionBy(key, check)))
+        keepers = hits.filter(F.col(docs) * 2 >= F.col(whole)).groupBy(one, two).agg(F.min(F.struct(key, check)).alias(keeper))
+        hits = hits.join(keepers, [one, two], "left").filter(F.col(keeper).isNull() | (F.col(keeper) != F.struct(key, check)))
+    drops = checkpoint(hits.groupBy(key, check).agg(F.collect_set(pos).alias(drop)))
+    bytes_ = drops.agg(F.sum(F.size(drop) * 4 + 32)).head()[0] or 0
+    joined = keyed.join(F.broadcast(drops) if bytes_ <= BROADCAST_BYTES else drops, [key, check], "left")
     kept = F.array_join(
         F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.when(F.array_contains(drop, i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "\n"
     )

@@ -115,13 +115,16 @@ def lines_by_hand(rows: list[tuple], most: int) -> list[tuple]:
     return [(i, t if t is None else "\n".join(x for x in t.split("\n") if not normal(x) or len(seen[normal(x)]) <= most)) for i, t in rows]
 
 
-def test_line_dedup(spark: SparkSession) -> None:
+def test_line_dedup(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
     rows = [(i, f"own {i}\n  Common Line \n\ntie") if i < 3 else (i, f"own {i}\ncommon line") for i in range(6)] + [(1, "own 1\n  Common Line \n\ntie"), (7, None), (8, ""), (None, "common line"), (9, "common line\n" * 3000 + "end")]
     out = line_dedup.line_dedup(docs(spark, *rows), max_docs=3)
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=key) == sorted(lines_by_hand(rows, 3), key=key)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect()) and "line" in out.columns
     assert line_dedup.line_dedup(docs(spark, *rows).limit(0)).count() == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert Counter((r["doc_id"], r["text"]) for r in line_dedup.line_dedup(docs(spark, *rows), max_docs=3).collect()) == Counter(lines_by_hand(rows, 3))
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
