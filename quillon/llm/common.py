@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -21,8 +22,10 @@ SLICE_BYTES = 6 << 20
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where none is set (tests on one machine) take a new one."""
+    """Use the folder named in spark.checkpoint.dir. Where none is named, a local session (tests on one machine) takes a new one; on a cluster executors couldn't share it, so that is an error."""
     if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import offsets_of, ragged_take, slices
+from .common import fresh, offsets_of, ragged_take, slices
 
 MODEL = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
@@ -353,6 +353,10 @@ class PieceCodec:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+#: Rows decoded at once.
+DECODE_ROWS = 1024
+
+
 def _coded(words: pa.Array) -> tuple[np.ndarray, list[str]]:
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
@@ -396,12 +400,15 @@ def encode_decode(df: DataFrame, text: str = "text", model: str = MODEL, ids: st
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, text: str = "decoded") -> DataFrame:
-    """Add the text that lists of ids stand for."""
+    """Add the text that lists of ids stand for, under a name that df hasn't (with underscores before it). A null list gives a null text, an empty one ''; rows in slices, so that memory follows the slice."""
+    (name,), names = fresh(df, text), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, tool.decode(lists)], names=[*batch.schema.names, text])
+            place = batch.schema.get_field_index(ids)
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(start, DECODE_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, tool.decode(part.column(place))], names=[*names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))

@@ -59,6 +59,8 @@ def test_codec_hard_rows(spark: SparkSession) -> None:
         assert (r["_ids"] is None) == (r["decoded"] is None) == (r["n_tokens"] is None)
     assert Counter(r["decoded"] for r in rows) == Counter(t if t is None else t.replace("▁", " ") for _, t in HARD)
     assert sentencepiece_codec.encode_decode(d.limit(0)).count() == 0
+    again = sentencepiece_codec.decode(out.select("_ids", "decoded"), "_ids")
+    assert again.columns == ["_ids", "decoded", "_decoded"] and all(r["decoded"] == r["_decoded"] for r in again.collect())
     back = sentencepiece_codec.decode(out.select("_ids"), "_ids")
     assert back.filter("decoded is null").count() == 2
 
@@ -301,15 +303,16 @@ def test_kd_shards_by_hand(spark: SparkSession, monkeypatch: pytest.MonkeyPatch,
 def test_quality(spark: SparkSession) -> None:
     good = "The quick brown fox jumps over the lazy dog. It was a bright day in the town, and people were out."
     bad = ["", "   ", None, "#$% " * 20, "A | b | c | d", "ALL CAPITALS HERE", "no ! ! ! !", "same same same same same", "x y\n" * 9, ("one two three four " * 12).strip()]
-    rows = [(i, t) for i, t in enumerate(bad)] + [(50, good), (50, good), (51, "short"), (None, good), (52, prose(9, 20000))]
+    bad += ["- one\n* two\n• three, the last", "so it goes...\nand on…\nto the end", " ".join(f"{k}." for k in range(40)), " ".join("ab" * 9 + str(k) for k in range(40)), prose(9, 60)]
+    rows = [(i, t) for i, t in enumerate(bad)] + [(50, good), (50, good), (51, "short"), (None, good), (52, prose(9, 20000), "xx", "s")]
     d = docs(spark, *rows)
     out = quality.quality_filter(d)
-    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted((str(i), t) for i, t in rows if i is None or i >= 50) and out.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted((str(i), t) for i, t, *_ in rows if i is None or i >= 50) and out.columns == d.columns
     order = quality.measure(d)
-    assert len(order) == 8 and all(a[2] / a[1] >= b[2] / b[1] for a, b in zip(order, order[1:]))
+    assert len(order) == 13 and sum(x[2] for x in order) == pytest.approx(0.75)  # each rejected row counts for the first rule only
     assert quality.quality_filter(d.limit(0)).count() == 0
-    for name in quality.rules(F.lit("")):  # whatever the order, the same rows stay
-        kept = d.filter(quality.first_failure(F.col("text"), sorted([n for n, _, _ in order], key=lambda n: (n != name, n))).isNull())
+    for name in quality.rules(F.lit(""), lang=F.lit("en")):  # whatever the order, the same rows stay
+        kept = d.filter(quality.first_failure(F.col("text"), sorted([n for n, _, _ in order], key=lambda n: (n != name, n)), lang=F.col("lang")).isNull())
         assert kept.count() == 5
 
 

@@ -17,13 +17,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark: SparkSession, tmp_path) -> None:
     rows = [(i, f"{prose(i, 60)}\nread more here") for i in range(60)] + [(100 + i, f"{edited(prose(i, 60), 30, i)}\nread more here") for i in range(5)] + [(200, None), (201, "| | | |"), (202, "")]
-    rows = [(i, t, "en", "big" if i % 4 else "small") for i, t in rows]
+    rows = [(i, t, "xx", "big" if i % 4 else "small") for i, t in rows]  # an invented language, without a list of stop words
     docs(spark, *rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     good = [(i, t) for i, t, *_ in rows if t and "|" not in t]
     lined = lines_by_hand(good, 50)
     gone = {i for g in near_by_hand(lined, near_dedup.THRESHOLD) for i in g if i != min(g)}
-    want = mixed_by_hand([(i, t, "en", "big" if i % 4 else "small") for i, t in lined if i not in gone])
+    want = mixed_by_hand([(i, t, "xx", "big" if i % 4 else "small") for i, t in lined if i not in gone])
     got = Counter((r["doc_id"], r["decoded"]) for r in out.collect())
     assert gone and got == want and not any("read more" in t for _, t in got)
     assert out.filter("size(ids) <> n_tokens").count() == 0
@@ -33,7 +33,7 @@ def test_large_groups_of_copies(spark: SparkSession, tmp_path) -> None:
     exact, near = [prose(500 + k, 40) for k in range(3)], [prose(600 + k, 40) for k in range(3)]
     rows = [(i, f"{prose(i, 60)}\nread more here") for i in range(60)] + [(100 + i, "\n".join(exact)) for i in range(60)]
     rows += [(200 + i, "\n".join([*near[: i % 3], prose(700 + i, 25), *near[i % 3 :]])) for i in range(60)] + [(300 + i, "\n".join([*near, ""] if i else near)) for i in range(2)]
-    docs(spark, *rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    docs(spark, *((i, t, "xx", "s") for i, t in rows)).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     texts = [r["decoded"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert [t for t in texts if exact[0] in t] == ["\n".join(exact)]
     assert all(sum(x in t for t in texts) == 1 for x in [*exact, *near, *(prose(i, 60) for i in range(60)), *(prose(700 + i, 25) for i in range(60))])
