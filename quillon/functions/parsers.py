@@ -135,13 +135,14 @@ def address_parts(address: Column) -> Column:
 
 
 def address_is_full(address: Column) -> Column:
-    """Three of: three or more parts, a postal code, a street number."""
-    parts = (F.size(address_parts(address)) >= 3).cast("int")
-    return (parts + address.rlike(r"\b\d{5}(-\d{4})?\b|\b[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b").cast("int") + address.rlike(r"^\s*\d+").cast("int")) >= 3
+    """its parts between commas, and one more each for something like a postal code and for a street number, are three or more."""
+    parts = F.size(address_parts(address)) + address.rlike(r"(?i)\b[a-z0-9]{3,10}\s*[a-z0-9]{0,6}\b").cast("int") + address.rlike(r"(?i)\b\d+\s+[a-z]").cast("int")
+    return parts >= 3
 
 
 def plain_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9\s]", ""), r"\s+", " ")), r"\s(inc|llc|ltd|co|corp)$", ""))
+    """letters and digits only, without one legal form or article at the end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]", ""), r"(co|inc|llc|ltd|the)$", "")
 
 
 def backoff_ms(attempt: Column, base: float, cap: float | None = None) -> Column:

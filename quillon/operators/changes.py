@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 from ..functions.core import half_up, ladder
 
 TRACKED = ("rating", "reviews_count", "business_status", "phone", "website")
-HASHED = ("place_id", "name", "rating", "reviews_count", "category", "address", "phone", "website", "business_status", "latitude", "longitude")
-LISTED = tuple(c for c in HASHED if c not in ("place_id", "latitude", "longitude"))
+#: C4: what a list shows of a row; C3 adds its key, its details and its place. When it was seen and what was derived from it isn't hashed.
+LISTED = ("name", "rating", "reviews_count", "price_level", "category", "address", "phone", "website", "maps_url", "plus_code", "open_now", "business_status", "is_sponsored", "query", "location")
+DETAILS = ("reservation_url", "menu_url", "detail_scraped", "latitude", "longitude", "full_hours", "popular_times", "top_reviews", "photos", "social_profiles")
+HASHED = ("place_id", *LISTED, *DETAILS)
 LIST_DAYS, DETAIL_DAYS, REVIEW_JUMP = 1, 7, 10.0
 
 
@@ -161,3 +163,18 @@ def timeline_line(at: Column, field: Column, old: Column, new: Column, change: C
     tail = F.when(change.isNull(), "").otherwise(F.concat(F.lit(" (Δ "), F.when(change > 0, "+").otherwise(""), shown, F.lit(")")))
     value = lambda x: F.coalesce(x, F.lit("(none)"))
     return F.concat(F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit("----")), F.lit("  "), label, F.lit(" "), value(old), F.lit(" → "), value(new), tail)
+
+
+def for_run(df: DataFrame, query: str, location: str, order: str = "id") -> DataFrame:
+    """SC7: the stored rows of a search, by id."""
+    return df.filter((F.col("query") == query) & (F.col("location") == location)).orderBy(order)
+
+
+def rule_age_days(verified: Column, now: Column) -> Column:
+    """Whole days since a set of rules was verified; null if it never was."""
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(verified)) / 86400).cast("bigint")
+
+
+def is_stale(verified: Column, now: Column, most_days: int = 30) -> Column:
+    """Older than most_days; one that never was verified is stale."""
+    return F.coalesce(rule_age_days(verified, now) > most_days, F.lit(True))

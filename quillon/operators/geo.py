@@ -2,7 +2,7 @@
 
 Radius joins never compare all pairs: points are put in grid cells as wide as the radius, one side is repeated for the nine cells around it,
 and an equi-join on the cell is followed by the exact distance. Where the nearest point is further than that, the
-cell grows eightfold for the rows still without one, until the cell holds the globe.
+cell grows eightfold for the rows still without one, until the radius spans the globe. Cells meet over the antimeridian.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import bands, half_up, haversine_km, ladder
+from .graph import checkpoint
 
 _COVERAGE = [
-    (r"(plumb|electric|contractor|roofing|hvac|locksmith|towing|landscap)", 15000), (r"(architecture|design|studio|lawyer|attorney|account)", 12000), (r"(yoga|pilates|gym|fitness|salon|spa|barber)", 3500),
-    (r"(coffee|cafe|bakery|deli|restaurant|bar|pizza|burger|sandwich)", 1500), (r"(store|shop|retail|book|clothing|hardware|bait|fishing|herbalist)", 4000),
+    (r"(electr|hvac|locksmith|pest|plumb|roof|solar|towing|tree)", 25000), (r"(construction|contractor|general|renovation)", 20000), (r"(clinic|dentist|doctor|medical|vet)", 6000),
+    (r"(account|architecture|attorney|design|lawyer|studio)", 12000), (r"(barber|fitness|gym|pilates|salon|spa|yoga)", 3500), (r"(bakery|bar|burger|cafe|coffee|deli|pizza|restaurant|sandwich)", 1500),
+    (r"(bait|book|clothing|fishing|hardware|herbalist|retail|shop|store)", 4000),
 ]
 COVERAGE_DEFAULT = 5000
 
@@ -41,10 +43,9 @@ def area_type(within_5km: Column) -> Column:
     return bands(within_5km, [(50, "urban"), (10, "suburban")], "rural")
 
 
-def _cells(lat: Column, lng: Column, radius_km: float, top_lat: float) -> tuple[Column, Column]:
-    step_lat = radius_km / 111.0
-    step_lng = radius_km / (111.0 * max(0.01, math.cos(math.radians(min(89.0, top_lat)))))
-    return F.floor(lat / step_lat), F.floor(lng / step_lng)
+def _steps(radius_km: float, top_lat: float) -> tuple[float, float]:
+    """Degrees of latitude and longitude that a cell spans."""
+    return radius_km / 111.0, radius_km / (111.0 * max(0.01, math.cos(math.radians(min(89.0, top_lat)))))
 
 
 def _top_lat(df: DataFrame) -> float:
@@ -53,33 +54,40 @@ def _top_lat(df: DataFrame) -> float:
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float, top_lat: float, on: list[str] | None = None) -> DataFrame:
     """Pairs (id, other columns with o_) of different ids within the radius, ends included, with distance m."""
-    x, y = _cells(F.col("lat"), F.col("lng"), radius_km, top_lat)
-    near = left.withColumn("cx", x).withColumn("cy", y).withColumn("dx", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).withColumn("dy", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
-    near = near.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
+    step_lat, step_lng = _steps(radius_km, top_lat)
+    x, y = F.floor(F.col("lat") / step_lat), F.floor(F.col("lng") / step_lng)
+    turned = [F.when(F.abs("lng") + step_lng >= 180, F.floor((F.col("lng") + turn) / step_lng)) for turn in (360, -360)]  # over the antimeridian
+    columns = F.array_distinct(F.array_compact(F.array(*[c + d for c in (y, *turned) for d in (-1, 0, 1)])))
+    near = left.withColumn("cx", F.explode(F.array(*[x + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(columns))
     other = right.withColumn("cx", x).withColumn("cy", y)
     other = other.select(*[F.col(c).alias(c if c in ("cx", "cy", *(on or [])) else f"o_{c}") for c in other.columns])
     met = near.join(other, ["cx", "cy", *(on or [])]).filter("id <> o_id").drop("cx", "cy")
     return met.withColumn("m", haversine_km(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) * 1000).filter(F.col("m") <= radius_km * 1000)
 
 
-def nearest(left: DataFrame, right: DataFrame, first_km: float = 5.0) -> DataFrame:
-    """(id, o_id, m): the nearest other point of each, ties by id; rows without any are absent."""
-    top, radius, todo, out = _top_lat(left.select("lat").unionByName(right.select("lat"))), first_km, left.select("id", "lat", "lng"), None
-    right = right.select("id", "lat", "lng")
+#: More than half of the globe's circumference.
+GLOBE_KM = 20_040.0
+
+
+def nearest(left: DataFrame, right: DataFrame, first_km: float = 5.0, other_than: str | None = None) -> DataFrame:
+    """(id, o_id, m): the nearest other point of each, ties by id; rows without any are absent. other_than: a column in which the other point must differ (null differs from any value)."""
+    own = [other_than] if other_than else []
+    top, radius, out = _top_lat(left.select("lat").unionByName(right.select("lat"))), first_km, None
+    todo, right = left.select("id", "lat", "lng", *own), right.select("id", "lat", "lng", *own)
+    if right.isEmpty():
+        return left.limit(0).select("id", F.col("id").alias("o_id"), F.lit(0.0).alias("m"))
     while True:
-        if radius < 2000:
-            pairs = radius_pairs(todo, right, radius, top)
-        else:  # the rest against all: few rows by now
-            o = right.select(F.col("id").alias("o_id"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
-            pairs = todo.join(o, F.col("id") != F.col("o_id")).withColumn("m", haversine_km(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) * 1000)
-        found = pairs.groupBy("id").agg(F.min(F.struct("m", "o_id")).alias("best")).select("id", "best.o_id", "best.m").persist()
+        pairs = radius_pairs(todo, right, radius, top)
+        if other_than:
+            pairs = pairs.filter(~F.col(other_than).eqNullSafe(F.col(f"o_{other_than}")))
+        found = checkpoint(pairs.groupBy("id").agg(F.min(F.struct("m", "o_id")).alias("best")).select("id", "best.o_id", "best.m"))
         out = found if out is None else out.unionByName(found)
-        if radius >= 2000:
+        if radius >= GLOBE_KM:
             return out
-        todo = todo.join(found.select("id"), "id", "left_anti").persist()
+        todo = checkpoint(todo.join(found.select("id"), "id", "left_anti"))
         if todo.isEmpty():
             return out
-        radius *= 8
+        radius = min(radius * 8, GLOBE_KM)
 
 
 def geo_metrics(df: DataFrame) -> DataFrame:
@@ -90,19 +98,19 @@ def geo_metrics(df: DataFrame) -> DataFrame:
     same = (F.col("cat") != "") & (F.col("cat") == F.col("o_cat"))
     counts = pairs.groupBy("id").agg(
         F.count_if(F.col("m") <= 500).alias("within_500m"), F.count_if(F.col("m") <= 1000).alias("within_1km"), F.count(F.lit(1)).alias("within_5km"), F.count_if((F.col("m") <= 1000) & same).alias("same_category_1km"),
-        F.min(F.when(F.col("o_chain_id").isNotNull() & ~F.col("o_chain_id").eqNullSafe(F.col("chain_id")), F.col("m"))).alias("chain_m"),
     )
     near = nearest(points, points).select("id", F.col("o_id").alias("nearest_id"), F.col("m").alias("nearest_m"))
-    joined = df.select("id", "category", "lat", "lng").join(counts, "id", "left").join(near, "id", "left")
+    chained = nearest(points, points.filter("chain_id is not null"), other_than="chain_id").select("id", F.col("m").alias("chain_m"))
+    joined = df.select("id", "category", "lat", "lng").join(counts, "id", "left").join(near, "id", "left").join(chained, "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     made = joined.select(
         "id", F.when(F.col("lat").isNull() | F.col("lng").isNull(), "none").otherwise("geocoded").alias("coord_source"), "nearest_id", half_up(F.col("nearest_m"), 3).alias("nearest_m"),
-        *[zero(c).alias(c) for c in ("within_500m", "within_1km", "within_5km", "same_category_1km")], half_up(F.col("chain_m"), 3).alias("chain_within_5km_m"),
+        *[zero(c).alias(c) for c in ("within_500m", "within_1km", "within_5km", "same_category_1km")], half_up(F.col("chain_m"), 3).alias("nearest_chain_m"),
         coverage_radius(F.col("category")).alias("coverage_radius_m"),
     )
     flags = [
         F.when(F.col("coord_source") == "none", "no_geocode"), F.when((F.col("coord_source") != "none") & (F.col("isolation") == "isolated"), "isolated_location"), F.when((F.col("coord_source") != "none") & (F.col("isolation") == "sparse"), "sparse_area"),
-        F.when(F.col("same_category_1km") >= 2, "high_competition_zone"), F.when(F.col("chain_within_5km_m") < 500, "chain_proximity"), F.when(F.col("within_500m") >= 3, "cluster_member"),
+        F.when(F.col("same_category_1km") >= 2, "high_competition_zone"), F.when(F.col("nearest_chain_m") < 500, "chain_proximity"), F.when(F.col("within_500m") >= 3, "cluster_member"),
     ]
     made = made.withColumn("isolation", isolation(F.col("nearest_m"), F.col("within_1km"))).withColumn("area_type", area_type(F.col("within_5km"))).withColumn("in_cluster", F.col("within_500m") >= 3)
     return made.withColumn("flags", F.array_join(F.array_compact(F.array(*flags)), "|"))
@@ -121,7 +129,7 @@ def in_polygon(lat: Column, lng: Column, corners: list[tuple[float, float]]) ->
 
 
 def default_step_km(diagonal_km: Column) -> Column:
-    return ladder([(diagonal_km <= 5, 1.5), (diagonal_km <= 15, 2.0), (diagonal_km <= 40, 3.0), (diagonal_km <= 100, 5.0)], 8.0)
+    return ladder([(diagonal_km <= 10, 1.5), (diagonal_km <= 30, 2.0), (diagonal_km <= 80, 3.0), (diagonal_km <= 200, 5.0)], 8.0)
 
 
 def bbox_from_center(lat: Column, lng: Column, radius_km: Column) -> Column:

@@ -71,6 +71,25 @@ def dead_letters(states: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return states.filter("state = 'failed'").orderBy("added", "job").offset(offset).limit(limit)
 
 
+def dead_letter_count(states: DataFrame) -> DataFrame:
+    """ST9: how many there are; one row."""
+    return states.agg(F.count_if(F.col("state") == "failed").alias("dead_letters"))
+
+
+def retried(states: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """ST9: the states after dead letters (those of ids, a column job; all, if None) wait again, with no attempt made. Other jobs of ids stay as they are."""
+    chosen = states.withColumn("_hit", F.lit(True)) if ids is None else states.join(ids.select("job").distinct().withColumn("_hit", F.lit(True)), "job", "left")
+    again = (F.col("state") == "failed") & F.coalesce("_hit", F.lit(False))
+    return chosen.withColumn("attempts_made", F.when(again, 0).otherwise(F.col("attempts_made"))).withColumn("state", F.when(again, "waiting").otherwise(F.col("state"))).drop("_hit")
+
+
+def without_dead_letters(states: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """ST9: the states without dead letters (those of ids; all, if None)."""
+    if ids is None:
+        return states.filter("state <> 'failed'")
+    return states.join(ids.select("job", F.lit("failed").alias("state")).distinct(), ["job", "state"], "left_anti").select(*states.columns)
+
+
 def cost_summary(log: DataFrame) -> DataFrame:
     """Log: provider, cost, ms, success. One row a provider and one ('*') for all, by grouping sets in one pass."""
     d = log.select(F.coalesce("provider", F.lit("unknown")).alias("provider"), F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("ms", F.lit(0)).alias("ms"), F.coalesce("success", F.lit(True)).alias("success"))

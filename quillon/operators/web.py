@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ladder, text_or_null
 
-ROLES = ("info", "contact", "hello", "admin", "sales", "support", "office", "mail", "enquiries", "team")
+ROLES = ("info", "contact", "hello", "admin", "sales", "support", "office", "mail", "booking", "reservations")
 EMAIL, MAILTO = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"mailto:([^\"'<>\s?]+)"
 
 

@@ -16,7 +16,9 @@ OD AS (SELECT place_id, k, name, CASE WHEN k % 10 = 0 THEN rating - 0.5 ELSE rat
   CASE WHEN k % 18 = 7 THEN 'open' ELSE {_STATUS_SQL} END AS business_status, lat AS latitude, lng AS longitude, last_list, last_detail, bal FROM L WHERE k % 11 <> 0)"""
 _TXT = lambda c: f"nullif(CAST({c} AS VARCHAR), '')"
 _HASH = lambda columns: "sha256(" + " || chr(1) || ".join(f"'{c}=' || coalesce(" + (f"CAST(CAST({c} AS DECIMAL(10,7)) AS VARCHAR)" if c in ("latitude", "longitude") else _TXT(c)) + ", 'null')" for c in columns) + ")"
-ACTED_SQL = f"{STATES_SQL}, OH AS (SELECT place_id, CASE WHEN k % 50 = 4 THEN NULL ELSE {_HASH(changes.HASHED)} END AS h FROM OD), AC AS (SELECT NW.*, {_HASH(changes.HASHED)} AS row_hash, CASE WHEN OH.place_id IS NULL THEN 'inserted' WHEN h = {_HASH(changes.HASHED)} THEN 'unchanged' ELSE 'updated' END AS action FROM NW LEFT JOIN OH ON OH.place_id = NW.place_id)".replace("'place_id=' || coalesce(nullif(CAST(place_id", "'place_id=' || coalesce(nullif(CAST(place_id")
+_HAVE = ("place_id", "name", "rating", "reviews_count", "category", "address", "phone", "website", "business_status", "latitude", "longitude")
+_HAVE_LISTED = _HAVE[1:9]
+ACTED_SQL = f"{STATES_SQL}, OH AS (SELECT place_id, CASE WHEN k % 50 = 4 THEN NULL ELSE {_HASH(_HAVE)} END AS h FROM OD), AC AS (SELECT NW.*, {_HASH(_HAVE)} AS row_hash, CASE WHEN OH.place_id IS NULL THEN 'inserted' WHEN h = {_HASH(_HAVE)} THEN 'unchanged' ELSE 'updated' END AS action FROM NW LEFT JOIN OH ON OH.place_id = NW.place_id)".replace("'place_id=' || coalesce(nullif(CAST(place_id", "'place_id=' || coalesce(nullif(CAST(place_id")
 ACTED_SQL = ACTED_SQL.replace("SELECT NW.*, sha256('place_id=' || coalesce(nullif(CAST(place_id", "SELECT NW.*, sha256('place_id=' || coalesce(nullif(CAST(NW.place_id").replace("WHEN h = sha256('place_id=' || coalesce(nullif(CAST(place_id", "WHEN h = sha256('place_id=' || coalesce(nullif(CAST(NW.place_id")
 
 
@@ -39,7 +41,7 @@ def _acted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, changes.actions(known, new)
 
 
-@query(f"WITH {STATES_SQL} SELECT place_id, {_HASH(changes.HASHED)} AS row_hash, {_HASH(changes.LISTED)} AS change_hash FROM NW")
+@query(f"WITH {STATES_SQL} SELECT place_id, {_HASH(_HAVE)} AS row_hash, {_HASH(_HAVE_LISTED)} AS change_hash FROM NW")
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of whole rows and of the list's fields."""
     new = states(spark, sf_dir)[1]
@@ -91,7 +93,7 @@ def merged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOW = "TIMESTAMP '2024-06-01 00:00:00'"
-DECISIONS_SQL = f"""{STATES_SQL}, DE AS (SELECT NW.place_id, OD.place_id IS NOT NULL AS known, CASE WHEN NW.k % 7 = 0 THEN NULL ELSE {_NOW} - to_hours((NW.k % 60)::BIGINT) END AS seen, CASE WHEN NW.k % 9 = 0 THEN NULL ELSE {_NOW} - to_hours((NW.k % 400)::BIGINT) END AS detailed, {_HASH(changes.LISTED).replace("CAST(", "CAST(NW.")} = {_HASH(changes.LISTED).replace("CAST(", "CAST(OD.")} AS same,
+DECISIONS_SQL = f"""{STATES_SQL}, DE AS (SELECT NW.place_id, OD.place_id IS NOT NULL AS known, CASE WHEN NW.k % 7 = 0 THEN NULL ELSE {_NOW} - to_hours((NW.k % 60)::BIGINT) END AS seen, CASE WHEN NW.k % 9 = 0 THEN NULL ELSE {_NOW} - to_hours((NW.k % 400)::BIGINT) END AS detailed, {_HASH(_HAVE_LISTED).replace("CAST(", "CAST(NW.")} = {_HASH(_HAVE_LISTED).replace("CAST(", "CAST(OD.")} AS same,
   NW.reviews_count::DOUBLE AS nr, OD.reviews_count::DOUBLE AS orr FROM NW LEFT JOIN OD ON OD.place_id = NW.place_id),
 DF AS (SELECT *, greatest(0, epoch_us({_NOW}) - epoch_us(seen)) / 86400000000.0::DOUBLE AS la, greatest(0, epoch_us({_NOW}) - epoch_us(detailed)) / 86400000000.0::DOUBLE AS da, CASE WHEN orr = 0 THEN CASE WHEN nr > 0 THEN 1000.0 WHEN nr IS NOT NULL THEN 0.0 ELSE NULL END ELSE (nr - orr) / abs(orr) * 100 END AS jump FROM DE),
 DC AS (SELECT place_id, CASE WHEN NOT known THEN 'new' WHEN la IS NULL OR la > 1 THEN 'stale' WHEN same THEN 'fresh_unchanged' ELSE 'fresh_changed' END AS list_action, CASE WHEN NOT known OR da IS NULL THEN 'no_cache' WHEN jump > 10 THEN 'forced_refresh' WHEN da > 7 THEN 'cache_miss' ELSE 'cache_hit' END AS detail_action FROM DF)"""
@@ -196,3 +198,20 @@ def checkpoint_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = d.filter("k % 2 = 0").select(own.alias("pid"), "name", "address", k.alias("seq"))
     fresh = d.select(own.alias("pid"), F.when(k % 8 != 0, F.col("name")).alias("name"), F.when(k % 8 != 0, F.col("address")).alias("address"), k.alias("seq"))
     return changes.union_first_seen(keyed(saved), keyed(fresh)).select("key", "origin", "seq")
+
+
+_RUN_SQL = "SELECT k AS id, place_id, CASE WHEN k % 3 = 0 THEN 'plumber' ELSE 'cafe' END AS query, 'City ' || (k % 4) AS location FROM L"
+
+
+@query(f"SELECT * FROM ({_RUN_SQL}) WHERE query = 'cafe' AND location = 'City 2'")
+def run_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC7: the stored listings of a search."""
+    k = F.col("k")
+    return changes.for_run(listings(spark, sf_dir).select(k.alias("id"), "place_id", F.when(k % 3 == 0, "plumber").otherwise("cafe").alias("query"), F.concat(F.lit("City "), (k % 4).cast("string")).alias("location")), "cafe", "City 2")
+
+
+@query("SELECT o_orderkey AS id, floor((epoch(TIMESTAMP '1998-12-01 12:00:00') - epoch(v::TIMESTAMP)) / 86400)::BIGINT AS age_days, coalesce(floor((epoch(TIMESTAMP '1998-12-01 12:00:00') - epoch(v::TIMESTAMP)) / 86400) > 365, true) AS stale FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS v FROM orders)")
+def rule_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of rule sets (orders stand for them), and which are stale."""
+    verified, now = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")).cast("timestamp"), F.lit("1998-12-01 12:00:00").cast("timestamp")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), changes.rule_age_days(verified, now).alias("age_days"), changes.is_stale(verified, now, 365).alias("stale"))

@@ -10,22 +10,24 @@ from ..operators import chains, geo
 from ..sources.listings import listings
 from .registry import query
 
-_RULES = [(r.replace("'", "''"), m) for r, m in geo._COVERAGE]
-COVERAGE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(category, '')), '{r}') THEN {m}" for r, m in _RULES) + f" ELSE {geo.COVERAGE_DEFAULT} END"
+COVERAGE_SQL = """CASE WHEN regexp_matches(lower(coalesce(category, '')), 'electr|hvac|locksmith|pest|plumb|roof|solar|towing|tree') THEN 25000 WHEN regexp_matches(lower(coalesce(category, '')), 'construction|contractor|general|renovation') THEN 20000
+ WHEN regexp_matches(lower(coalesce(category, '')), 'clinic|dentist|doctor|medical|vet') THEN 6000 WHEN regexp_matches(lower(coalesce(category, '')), 'account|architecture|attorney|design|lawyer|studio') THEN 12000
+ WHEN regexp_matches(lower(coalesce(category, '')), 'barber|fitness|gym|pilates|salon|spa|yoga') THEN 3500 WHEN regexp_matches(lower(coalesce(category, '')), 'bakery|bar|burger|cafe|coffee|deli|pizza|restaurant|sandwich') THEN 1500
+ WHEN regexp_matches(lower(coalesce(category, '')), 'bait|book|clothing|fishing|hardware|herbalist|retail|shop|store') THEN 4000 ELSE 5000 END"""
 
 PAIRS_SQL = f"""P AS (SELECT *, lower(trim(coalesce(category, ''))) AS cat, {chains.CHAIN_SQL} AS chain_id FROM L WHERE lat IS NOT NULL),
 Q AS (SELECT a.place_id AS id, b.place_id AS o_id, a.cat, b.cat AS o_cat, a.chain_id, b.chain_id AS o_chain_id, {haversine_sql('a', 'b')} * 1000 AS m FROM P a JOIN P b ON a.place_id <> b.place_id)"""
 
 METRICS_SQL = f"""{PAIRS_SQL},
 C AS (SELECT id, count(*) FILTER (WHERE m <= 500) AS w5, count(*) FILTER (WHERE m <= 1000) AS w1, count(*) FILTER (WHERE m <= 5000) AS w50, count(*) FILTER (WHERE m <= 1000 AND cat <> '' AND cat = o_cat) AS sc,
-        min(m) FILTER (WHERE m <= 5000 AND o_chain_id IS NOT NULL AND o_chain_id IS DISTINCT FROM chain_id) AS chain_m, min(m) AS nm, arg_min(o_id, (m, o_id)) AS nid FROM Q GROUP BY id),
+        min(m) FILTER (WHERE o_chain_id IS NOT NULL AND o_chain_id IS DISTINCT FROM chain_id) AS chain_m, min(m) AS nm, arg_min(o_id, (m, o_id)) AS nid FROM Q GROUP BY id),
 G AS (SELECT place_id AS id, CASE WHEN lat IS NULL THEN 'none' ELSE 'geocoded' END AS coord_source, nid AS nearest_id, floor(nm * 1000 + 0.5) / 1000 AS nearest_m, coalesce(w5, 0)::BIGINT AS within_500m, coalesce(w1, 0)::BIGINT AS within_1km, coalesce(w50, 0)::BIGINT AS within_5km,
-        coalesce(sc, 0)::BIGINT AS same_category_1km, floor(chain_m * 1000 + 0.5) / 1000 AS chain_within_5km_m, {COVERAGE_SQL} AS coverage_radius_m,
+        coalesce(sc, 0)::BIGINT AS same_category_1km, floor(chain_m * 1000 + 0.5) / 1000 AS nearest_chain_m, {COVERAGE_SQL} AS coverage_radius_m,
         CASE WHEN nm IS NULL OR coalesce(w1, 0) = 0 THEN 'isolated' WHEN w1 <= 3 THEN 'sparse' WHEN w1 <= 9 THEN 'moderate' ELSE 'dense' END AS isolation,
         CASE WHEN coalesce(w50, 0) >= 50 THEN 'urban' WHEN coalesce(w50, 0) >= 10 THEN 'suburban' ELSE 'rural' END AS area_type, coalesce(w5, 0) >= 3 AS in_cluster
       FROM L LEFT JOIN C ON C.id = place_id),
 GEO AS (SELECT *, array_to_string(list_filter([CASE WHEN coord_source = 'none' THEN 'no_geocode' END, CASE WHEN coord_source <> 'none' AND isolation = 'isolated' THEN 'isolated_location' END, CASE WHEN coord_source <> 'none' AND isolation = 'sparse' THEN 'sparse_area' END,
-        CASE WHEN same_category_1km >= 2 THEN 'high_competition_zone' END, CASE WHEN chain_within_5km_m < 500 THEN 'chain_proximity' END, CASE WHEN in_cluster THEN 'cluster_member' END], lambda x: x IS NOT NULL), '|') AS flags FROM G)"""
+        CASE WHEN same_category_1km >= 2 THEN 'high_competition_zone' END, CASE WHEN nearest_chain_m < 500 THEN 'chain_proximity' END, CASE WHEN in_cluster THEN 'cluster_member' END], lambda x: x IS NOT NULL), '|') AS flags FROM G)"""
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGION_SQL = """R0 AS (SELECT n_nationkey AS region, 30.0 + n_nationkey AS clat, n_nationkey * 2.0 - 20 AS clng, 4.0 + n_nationkey % 5 AS rad FROM nation),
-R AS (SELECT region, clat + rad / 111.0 AS north, clat - rad / 111.0 AS south, clng + rad / (111.0 * cos(radians(clat))) AS east, clng - rad / (111.0 * cos(radians(clat))) AS west, CASE WHEN 2.83 * rad <= 5 THEN 1.5 WHEN 2.83 * rad <= 15 THEN 2.0 WHEN 2.83 * rad <= 40 THEN 3.0 ELSE 8.0 END AS step_km FROM R0)"""
+R AS (SELECT region, clat + rad / 111.0 AS north, clat - rad / 111.0 AS south, clng + rad / (111.0 * cos(radians(clat))) AS east, clng - rad / (111.0 * cos(radians(clat))) AS west, CASE WHEN 2.83 * rad <= 10 THEN 1.5 WHEN 2.83 * rad <= 30 THEN 2.0 WHEN 2.83 * rad <= 80 THEN 3.0 WHEN 2.83 * rad <= 200 THEN 5.0 ELSE 8.0 END AS step_km FROM R0)"""
 
 
 @query(f"""WITH {_REGION_SQL},

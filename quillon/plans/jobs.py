@@ -27,14 +27,14 @@ def job_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: orders as jobs: an 'add' each, and what its key says came of it
-_JOBS_SQL = """J AS (SELECT o_orderkey AS job, CAST(o_orderkey % 4 AS BIGINT) AS priority, o_orderdate AS added, 1 + o_orderkey % 3 AS attempts, o_orderkey % 3 AS fails, o_orderkey % 7 AS f FROM orders),
+_JOBS_SQL = """J AS (SELECT o_orderkey AS job, CAST(o_orderkey % 4 AS BIGINT) AS priority, o_orderdate AS added, 1 + (o_orderkey // 3) % 2 AS attempts, o_orderkey % 3 AS fails, o_orderkey % 7 AS f FROM orders),
 S AS (SELECT job, CASE WHEN f = 0 THEN 'completed' WHEN f = 1 THEN 'active' WHEN f IN (2, 3) AND fails > 0 THEN CASE WHEN fails >= attempts THEN 'failed' ELSE 'waiting' END WHEN f = 4 AND fails = 0 THEN 'delayed' ELSE 'waiting' END AS state, CASE WHEN f IN (2, 3) THEN fails ELSE 0 END::INT AS attempts_made, priority, added FROM J)"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
     at, f = F.col("o_orderdate"), F.col("o_orderkey") % 7
-    base = [k.alias("job"), (1 + k % 3).alias("attempts"), F.when((f == 4) & (k % 3 == 0), F.expr("timestamp '2100-01-01 00:00:00'")).alias("delay_until"), (k % 4).alias("priority")]
+    base = [k.alias("job"), (1 + F.floor(k / 3) % 2).alias("attempts"), F.when((f == 4) & (k % 3 == 0), F.expr("timestamp '2100-01-01 00:00:00'")).alias("delay_until"), (k % 4).alias("priority")]
     event = lambda when, name, later: F.when(when, F.struct((at + F.make_dt_interval(F.lit(0), F.lit(later))).alias("at"), F.lit(later).alias("seq"), F.lit(name).alias("event")))
     failing = f.isin(2, 3)
     rows = F.array_compact(F.array(event(F.lit(True), "add", 0), event(failing & (k % 3 >= 1), "fail", 1), event(failing & (k % 3 >= 2), "fail", 2), event(f.isin(0, 1), "start", 3), event(f == 0, "done", 4)))
@@ -66,6 +66,20 @@ def dead_letter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.dead_letters(_states(spark, sf_dir), 20, 5).select("job", "attempts_made")
 
 
+@query(f"""WITH {_JOBS_SQL}, A AS (SELECT job, CASE WHEN state = 'failed' AND job % 2 = 0 THEN 'waiting' ELSE state END AS state, CASE WHEN state = 'failed' AND job % 2 = 0 THEN 0 ELSE attempts_made END AS attempts_made FROM S)
+SELECT job, state, attempts_made FROM A WHERE NOT (state = 'failed' AND job % 3 = 0)""")
+def dead_letter_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST9: dead letters of even jobs tried again, of every third one that is left removed."""
+    s = _states(spark, sf_dir).select("job", "state", "attempts_made")
+    return jobs.without_dead_letters(jobs.retried(s, s.filter("job % 2 = 0")), s.filter("job % 3 = 0"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT count(*) FILTER (WHERE state = 'failed')::BIGINT AS dead_letters FROM S")
+def dead_letter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST9: how many dead letters there are."""
+    return jobs.dead_letter_count(_states(spark, sf_dir))
+
+
 _EVENT_LOG = "E AS (SELECT CASE WHEN user_id % 9 = 0 THEN 'unknown' ELSE 'p' || CAST(user_id % 9 AS VARCHAR) END AS provider, value AS cost, CAST(floor(value * 10) AS BIGINT) AS ms, event_type <> 'error' AS ok FROM events)"
 _COST = "count(*)::BIGINT AS n, count(*) FILTER (WHERE ok)::BIGINT AS succeeded, floor(count(*) FILTER (WHERE ok) * 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 AS success_rate, floor(sum(cost) * 1e6 + 0.5) / 1e6 AS cost, floor(avg(ms) + 0.5)::BIGINT AS avg_ms FROM E"
 

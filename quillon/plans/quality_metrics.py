@@ -9,8 +9,22 @@ from ..functions import core, parsers
 from ..sources.listings import listings
 from .registry import query
 
-FIELDS = ("name", "category", "rating", "reviews_count", "phone", "address", "website", "lat")
-CORE_FIELDS, CORE_LIMIT, OTHER_LIMIT, LEAST_SAMPLE = ("name", "category"), 50.0, 30.0, 10
+CORE_FIELDS = ("name", "rating", "reviews_count", "address")
+FIELDS = (*CORE_FIELDS, "price_level", "category", "phone", "website", "plus_code", "open_now", "business_status", "is_sponsored")
+CORE_LIMIT, OTHER_LIMIT, LEAST_SAMPLE = 50.0, 30.0, 10
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with the fields of a whole card."""
+    k, status = F.col("k"), F.col("status_text")
+    return listings(spark, sf_dir).select(
+        "*", F.when(k % 4 != 0, F.expr("repeat('$', cast(k % 4 as int))")).alias("price_level"), F.when(k % 5 == 0, F.concat(F.lit("849V+"), k.cast("string"))).otherwise("").alias("plus_code"),
+        F.when(status == "Open now", True).when(k % 3 == 0, False).alias("open_now"), F.when(status != "Open now", F.lower(status)).alias("business_status"), (k % 50 == 0).alias("is_sponsored"),
+    )
+
+
+_PROFILES = """(SELECT *, CASE WHEN k % 4 <> 0 THEN repeat('$', (k % 4)::INT) END AS price_level, CASE WHEN k % 5 = 0 THEN '849V+' || k ELSE '' END AS plus_code,
+  CASE WHEN status_text = 'Open now' THEN true WHEN k % 3 = 0 THEN false END AS open_now, CASE WHEN status_text <> 'Open now' THEN lower(status_text) END AS business_status, k % 50 = 0 AS is_sponsored FROM L)"""
 
 
 def fill_rates(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -36,17 +50,17 @@ def abort_if_unhealthy(df: DataFrame) -> None:
         raise ValueError(f"core fields hardly filled: {', '.join(sorted(bad))}")
 
 
-_RATES = "SELECT field, filled, total, floor(filled * 100.0 / total * 10 + 0.5) / 10 AS rate FROM (SELECT field, count(v) FILTER (WHERE v <> '')::BIGINT AS filled, count(*)::BIGINT AS total FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS v FROM L" for f in FIELDS) + ") GROUP BY field)"
+_RATES = "SELECT field, filled, total, floor(filled * 100.0 / total * 10 + 0.5) / 10 AS rate FROM (SELECT field, count(v) FILTER (WHERE v <> '')::BIGINT AS filled, count(*)::BIGINT AS total FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS v FROM {_PROFILES}" for f in ("name", "rating", "reviews_count", "address", "price_level", "category", "phone", "website", "plus_code", "open_now", "business_status", "is_sponsored")) + ") GROUP BY field)"
 
 
 @query(f"SELECT *, rate < 80 AS warn FROM ({_RATES}) WHERE EXISTS (SELECT 1 FROM L )", "fill_rates")
 def _fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_rates(listings(spark, sf_dir))
+    return fill_rates(profiles(spark, sf_dir))
 
 
-@query(f"SELECT field, rate, field IN ('name', 'category') AS is_core, CASE WHEN total >= 10 AND field IN ('name', 'category') AND rate < 50 THEN 'abort' WHEN total >= 10 AND field NOT IN ('name', 'category') AND rate < 30 THEN 'degraded' ELSE 'ok' END AS health FROM ({_RATES}) WHERE EXISTS (SELECT 1 FROM L )", "fill_health")
+@query(f"SELECT field, rate, field IN ('name', 'rating', 'reviews_count', 'address') AS is_core, CASE WHEN total >= 10 AND field IN ('name', 'rating', 'reviews_count', 'address') AND rate < 50 THEN 'abort' WHEN total >= 10 AND field NOT IN ('name', 'rating', 'reviews_count', 'address') AND rate < 30 THEN 'degraded' ELSE 'ok' END AS health FROM ({_RATES}) WHERE EXISTS (SELECT 1 FROM L )", "fill_health")
 def _fill_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_health(listings(spark, sf_dir))
+    return fill_health(profiles(spark, sf_dir))
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -54,27 +68,31 @@ def _pct(part: Column, whole: Column) -> Column:
 
 
 @query("""
-WITH n AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), '\\s(inc|llc|ltd|co|corp)$', '')) AS plain FROM L),
-d AS (SELECT coalesce(sum(c - 1), 0)::BIGINT AS dup FROM (SELECT count(*) AS c FROM n WHERE plain <> '' AND phone <> '' GROUP BY plain, phone)),
+WITH n AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]', '', 'g'), '(co|inc|llc|ltd|the)$', '') AS plain FROM L),
+d AS (SELECT coalesce(sum(c - 1), 0)::BIGINT AS dup FROM (SELECT count(*) AS c FROM n WHERE plain <> '' OR coalesce(phone, '') <> '' GROUP BY plain, coalesce(trim(phone), ''))),
 p AS (SELECT *, list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM L),
-f AS (SELECT *, (CASE WHEN len(parts) >= 3 THEN 1 ELSE 0 END + regexp_matches(address, '\\b\\d{5}(-\\d{4})?\\b|\\b[A-Z]{1,2}\\d[A-Z\\d]? ?\\d[A-Z]{2}\\b')::INT + regexp_matches(address, '^\\s*\\d+')::INT) >= 3 AS is_full FROM p)
-SELECT count(*)::BIGINT AS total, count(DISTINCT nullif(regexp_replace(trim(phone), '[0-9]', '9', 'g'), ''))::BIGINT AS phone_formats, count(address)::BIGINT AS with_address, count(*) FILTER (WHERE is_full)::BIGINT AS full_address,
-       floor(count(*) FILTER (WHERE is_full) * 100.0 / count(*) * 10 + 0.5) / 10 AS full_pct, floor((SELECT dup FROM d) * 100.0 / count(*) * 10 + 0.5) / 10 AS duplicate_pct, floor(count(*) FILTER (WHERE website LIKE 'http%') * 100.0 / count(*) * 10 + 0.5) / 10 AS website_pct FROM f
+f AS (SELECT *, trim(address) <> '' AS has, len(parts) + regexp_matches(address, '(?i)\\b[a-z0-9]{3,10}\\s*[a-z0-9]{0,6}\\b')::INT + regexp_matches(address, '(?i)\\b\\d+\\s+[a-z]')::INT >= 3 AS is_full FROM p)
+SELECT count(*)::BIGINT AS total, count(DISTINCT nullif(regexp_replace(trim(phone), '[0-9]', '9', 'g'), ''))::BIGINT AS phone_formats, count(*) FILTER (WHERE has)::BIGINT AS with_address, count(*) FILTER (WHERE has AND is_full)::BIGINT AS full_address,
+       count(*) FILTER (WHERE has AND NOT is_full)::BIGINT AS partial_address, floor(count(*) FILTER (WHERE has AND is_full) * 100.0 / count(*) * 10 + 0.5) / 10 AS full_pct, (SELECT dup FROM d) AS duplicates, floor((SELECT dup FROM d) * 100.0 / count(*) * 10 + 0.5) / 10 AS duplicate_pct,
+       floor(count(*) FILTER (WHERE regexp_matches(website, '(?i)^https?://')) * 100.0 / count(*) * 10 + 0.5) / 10 AS website_pct FROM f
 """)
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone formats, address completeness, exact duplicates, share with a website; one row."""
     rows = listings(spark, sf_dir)
-    plain = parsers.plain_name(F.col("name"))
-    repeats = rows.filter((plain != "") & (F.col("phone") != "")).groupBy(plain.alias("plain"), "phone").agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("dup"))
+    plain, phone = parsers.plain_name(F.col("name")), F.coalesce(F.trim("phone"), F.lit(""))
+    repeats = rows.select(plain.alias("plain"), phone.alias("phone")).filter((F.col("plain") != "") | (F.col("phone") != "")).groupBy("plain", "phone").agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("dup"))
+    has, full = F.trim("address") != "", parsers.address_is_full(F.col("address"))
     whole = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.countDistinct(core.text_or_null(parsers.format_signature(F.col("phone")))).alias("phone_formats"),
-        F.count("address").alias("with_address"),
-        F.count_if(parsers.address_is_full(F.col("address"))).alias("full_address"),
-        F.count_if(F.col("website").startswith("http")).alias("n_web"),
+        F.count_if(has).alias("with_address"),
+        F.count_if(has & full).alias("full_address"),
+        F.count_if(has & ~full).alias("partial_address"),
+        F.count_if(F.col("website").rlike("(?i)^https?://")).alias("n_web"),
     )
     joined = whole.crossJoin(F.broadcast(repeats))  # one row each
-    return joined.select("total", "phone_formats", "with_address", "full_address", _pct(F.col("full_address"), F.col("total")).alias("full_pct"), _pct(F.col("dup"), F.col("total")).alias("duplicate_pct"), _pct(F.col("n_web"), F.col("total")).alias("website_pct"))
+    pct = lambda part, name: _pct(F.col(part), F.col("total")).alias(name)
+    return joined.select("total", "phone_formats", "with_address", "full_address", "partial_address", pct("full_address", "full_pct"), F.col("dup").alias("duplicates"), pct("dup", "duplicate_pct"), pct("n_web", "website_pct"))
 
 
 @query("""

@@ -38,7 +38,7 @@ _EMAIL = "[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}"
 
 @query(f"""
 SELECT doc_id, email, {host_sql("split_part(email, '@', 2)")} AS domain FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_EMAIL}')) AS email FROM documents)
-UNION ALL SELECT -1 - page_id, email, split_part(email, '@', 2) FROM (SELECT page_id, unnest(['sales@shop' || CAST(page_id AS VARCHAR) || '.example.com', 'a.b@x.example.org']) AS email FROM pages)
+UNION ALL SELECT -1 - page_id, email, split_part(email, '@', 2) FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(coalesce(html, '') || ' mailto:Sales@shop' || page_id || '.example.com?x=1 A.B@x.example.org'), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}')) AS email FROM pages)
 """)
 def emails_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """addresses in documents, and in pages to which two were added."""

@@ -141,3 +141,13 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
             raise
         return None
     return spark.read.parquet(rows[0]["value"]) if rows and re.search(r"/data-[0-9a-f]{32}$", rows[0]["value"]) else None
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """SK18: events (costs, burns) as JSON lines, a further file each time; nothing that is there is read or changed. The order of events is that of their own time."""
+    events.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def stream_events(events: DataFrame, path: str, checkpoints: str):
+    """SK18 for a stream of events: each once, by the sink's own log. Returns the running query."""
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoints).outputMode("append").start()
