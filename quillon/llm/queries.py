@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, line_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, topk
 
@@ -28,7 +27,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_topk": _over("embeddings", topk.every_hundredth),
     "op6_kd_shards": _over("documents", sharding.kd_shards),
     "op7_quality_rules": _over("documents", quality.quality_filter),
-    "op8_lm_scores": _over("documents", lambda d: lm_score.document_scores(d, F.col("doc_id") % 100 == 0)),
+    "op8_lm_scores": _over("documents", lm_score.document_scores),
     "op8_lm_scores_benchmark": _lm,
     "op9_mixing": _over("documents", mixing.mix),
     "op10_near_dedup": _over("documents", near_dedup.groups),
