@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, common, line_dedup, lm_score, mixing, near_dedup, quality, queries, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
+from quillon.llm import chat, common, line_dedup, lm_score, mixing, near_dedup, quality, queries, self_score, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
 from tests.compare import difference
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -375,6 +375,23 @@ def test_documents_are_scored_against_all(spark: SparkSession, shard: int, block
     assert scored(lm_score.lm_scores(d, d, shard_words=shard, block_words=block)) == scored_by_hand(rows, [t for _, t in rows])
 
 
+@pytest.mark.parametrize(("block", "keys"), [(1 << 20, 1 << 20), (60, 50), (7, 1000)])
+def test_all_documents_are_scored_without_pairs_of_blocks(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, block: int, keys: int) -> None:
+    r = random.Random(10)
+    say = lambda n: " ".join(r.choice("a b c d".split()) for _ in range(n))
+    long = prose(4, 90)
+    rows = [(f"d{i}", say(r.randrange(30))) for i in range(12)] + [("20", None), ("21", ""), ("22", "A b A b A b"), ("22", "A b A b A b"), (None, "lone"), ("23", long), ("24", edited(long, 30, 1)), ("25", f"{say(3)} {long}"), ("26", long), ("27", "z " * 60), ("28", f"{long} {long}")]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumn("ids", F.lit(0)).withColumn("block", F.lit("x"))
+    schema = lm_score.result_schema(d.schema["doc_id"].dataType)
+    monkeypatch.setattr(self_score, "RANGE_KEYS", keys)
+    assert scored(self_score.self_scores(d, schema, lm_score.GAMMA, lm_score.VOCABULARY, block_words=block)) == scored_by_hand(rows, [t for _, t in rows])
+    if keys == 50:
+        monkeypatch.setattr(lm_score, "lm_scores", None)  # each block against each shard: work that grows with the square
+        assert scored(lm_score.document_scores(d)) == scored_by_hand(rows, [t for _, t in rows])
+        assert lm_score.document_scores(d.limit(0)).count() == 0
+        assert scored(lm_score.document_scores(d.filter("doc_id in ('20', '21')"))) == [("20", 0, []), ("21", 0, [])]
+
+
 def test_a_very_long_text_is_scored(spark: SparkSession) -> None:
     long = prose(1, 30_000)
     d = spark.createDataFrame([(1, long), (2, long), (3, "alpha1 bravo2")], "doc_id bigint, text string")
