@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import chat, common, line_dedup, lm_score, mixing, near_dedup, quality, queries, self_score, sentencepiece_codec, sharding, suffix, suffix_dedup, topk
 from tests.compare import difference
@@ -392,6 +395,31 @@ def test_all_documents_are_scored_without_pairs_of_blocks(spark: SparkSession, m
         assert scored(lm_score.document_scores(d.filter("doc_id in ('20', '21')"))) == [("20", 0, []), ("21", 0, [])]
 
 
+def test_scoring_keeps_no_shuffle_and_the_words_once(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """What lies on disk between rounds: the blocks, answers and one state, no files of shuffles that are over."""
+    folders = [Path(str(x)) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {x for f in folders for x in f.rglob("shuffle_*.data")}
+    before, made, left, real = shuffles(), [], [], self_score.checkpoint
+
+    def watched(df: DataFrame) -> DataFrame:
+        made.append(out := real(df))
+        for _ in range(50):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        left.append(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(self_score, "checkpoint", watched)
+    d = spark.createDataFrame([(k, f"start{k} {prose(k // 2, 120)}") for k in range(30)], "doc_id bigint, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    out = self_score.self_scores(d, lm_score.result_schema(T.LongType()), lm_score.GAMMA, lm_score.VOCABULARY, block_words=300)
+    assert not any(left) and sum("tokens" in x.columns for x in made) == 1
+    there = [x for x in made if "kind" in x.columns and Path(x._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")).exists()]
+    assert len(there) == 1 and len(made) > 6
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive and out.count() == 30
+
+
 def test_a_very_long_text_is_scored(spark: SparkSession) -> None:
     long = prose(1, 30_000)
     d = spark.createDataFrame([(1, long), (2, long), (3, "alpha1 bravo2")], "doc_id bigint, text string")
