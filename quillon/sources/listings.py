@@ -49,5 +49,6 @@ LISTINGS_SQL = LISTINGS.format(customer="customer", part="part", orders="orders"
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of few bytes is one split of one file, so rows are spread over all cores: what is made of a listing costs more than its shuffle."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(LISTINGS, customer=read("customer"), part=read("part"), orders=read("orders"))
+    return spark.sql(LISTINGS, customer=read("customer"), part=read("part"), orders=read("orders")).repartition("k")
