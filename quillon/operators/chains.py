@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import settled
+
 #: id ; shown name ; whole words ; parts. Words and parts are in normal form.
 _BRANDS = """
 mcdonalds;McDonald's;mcdonald,mcdonalds;golden arches,mickey ds,micky ds
@@ -27,23 +29,30 @@ def normal_name(name: Column) -> Column:
 
 
 def chain(name: Column, catalogue: list[tuple[str, str, str, str]] = CATALOGUE) -> Column:
-    """struct(chain_id, chain_name, confidence), null for no chain. A whole word (1.0) of any brand beats a part (0.9); brands in order."""
-    plain, cases = normal_name(name), []
-    for key, shown, words, _ in catalogue:
-        cases.append((plain.rlike(rf"(^|\s)({words.replace(',', '|')})(\s|$)"), key, shown, 1.0))
-    for key, shown, _, parts in catalogue:
-        for part in filter(None, parts.split(",")):
-            cases.append((plain.contains(part), key, shown, 0.9))
-    out = None
-    for test, key, shown, sure in cases:
-        value = F.struct(F.lit(key).alias("chain_id"), F.lit(shown).alias("chain_name"), F.lit(sure).alias("confidence"))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    """struct(chain_id, chain_name, confidence), null for no chain. A whole word (1.0) of any brand beats a part (0.9); brands in order.
+
+    The normal form is a lambda's variable, so that it is worked out once a row and not once a brand.
+    """
+
+    def found(plain: Column) -> Column:
+        cases = []
+        for key, shown, words, _ in catalogue:
+            cases.append((plain.rlike(rf"(^|\s)({words.replace(',', '|')})(\s|$)"), key, shown, 1.0))
+        for key, shown, _, parts in catalogue:
+            for part in filter(None, parts.split(",")):
+                cases.append((plain.contains(part), key, shown, 0.9))
+        out = None
+        for test, key, shown, sure in cases:
+            value = F.struct(F.lit(key).alias("chain_id"), F.lit(shown).alias("chain_name"), F.lit(sure).alias("confidence"))
+            out = F.when(test, value) if out is None else out.when(test, value)
+        return out
+
+    return F.transform(F.array(normal_name(name)), found)[0]
 
 
 def chain_groups(df: DataFrame, name: str = "name", key: str = "place_id") -> DataFrame:
     """Listings and their ids by chain."""
-    found = df.select(key, chain(F.col(name)).alias("c")).filter("c is not null")
+    found = df.select(key, settled(chain(F.col(name)).alias("c"))).filter("c is not null")
     return found.groupBy(F.col("c.chain_id").alias("chain_id"), F.col("c.chain_name").alias("chain_name")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("listings"))
 
 

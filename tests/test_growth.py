@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from quillon.operators import chains
 from quillon.sources.listings import listings
 
 SMALL = "/root/testdata/sf0.001"
@@ -15,3 +17,12 @@ def optimized(df) -> str:
 
 def test_listings_are_spread_before_they_are_worked_on(spark: SparkSession) -> None:
     assert optimized(listings(spark, SMALL)).startswith("RepartitionByExpression [k")
+
+
+def test_a_name_is_normalised_once_for_all_brands(spark: SparkSession) -> None:
+    from quillon.plans.catalogue import QUERIES
+
+    plan = optimized(QUERIES["chain_detect"](spark, SMALL))
+    assert plan.count("regexp_replace(") == 3
+    found = spark.createDataFrame([("Wal-Mart #3",), ("Seven Eleven",), ("Targeted",), (None,)], "name string").select(chains.chain(F.col("name")).alias("c")).select("c.*").collect()
+    assert [tuple(r) for r in found] == [("walmart", "Walmart", 1.0), ("7eleven", "7-Eleven", 1.0), (None, None, None), (None, None, None)]
